@@ -18,12 +18,31 @@ PERSON = "customer_unique_id"
 PURCHASED = "order_purchase_timestamp"
 
 
-def order_values(items: DataFrame) -> DataFrame:
-    """Per order: value, lines that carry a value, all lines."""
-    return items.groupBy("order_id").agg(
+def _value_measures() -> list[Column]:
+    return [
         F.sum(line_value()).alias("order_value"),
         F.count(line_value()).alias("valued_lines"),
         F.count(F.lit(1)).alias("lines"),
+    ]
+
+
+def order_values(items: DataFrame) -> DataFrame:
+    """Per order: value, lines that carry a value, all lines."""
+    return items.groupBy("order_id").agg(*_value_measures())
+
+
+def order_contents(items: DataFrame, products: DataFrame) -> DataFrame:
+    """``order_values`` and the order's distinct categories.
+
+    Category names come from a dictionary (the products refer to the translation table),
+    so the set of one order stays small however many lines the order has. Products are
+    joined without a forced broadcast; a hot product is split by AQE.
+    """
+    category = products.select("product_id", "product_category_name")
+    return (
+        items.join(category, "product_id", "left")
+        .groupBy("order_id")
+        .agg(*_value_measures(), F.collect_set("product_category_name").alias("categories"))
     )
 
 

@@ -12,7 +12,7 @@ from basketry.operators.orders import (
     PURCHASED,
     delivered_baskets,
     delivered_orders,
-    order_values,
+    order_contents,
     reference_date,
     review_totals,
     spend_per_person,
@@ -81,7 +81,10 @@ def rfm_base(t: Tables) -> DataFrame:
 
 def basket_trend(t: Tables) -> DataFrame:
     """Mean change between successive orders; NULL for a person with one order."""
-    baskets = _person_baskets(t).withColumn("is_basket", F.lit(True))
+    unused = {name: F.lit(0) for name in ("valued_lines", *_REVIEW_MEASURES)}
+    baskets = _person_baskets(t).withColumns(
+        {"is_basket": F.lit(True), "category": F.lit(None).cast("string"), **unused}
+    )
     return _per_person(_daily(baskets)).select(PERSON, _trend().alias("basket_trend"))
 
 
@@ -116,39 +119,24 @@ def _trend() -> Column:
 
 
 def diversity(t: Tables) -> DataFrame:
-    """Distinct categories per person over delivered lines.
-
-    DISTINCT is applied per order, then per ``customer_id``, then per person, so neither a
-    hot order nor a hot person reaches one task unreduced.
-    """
-    category = "product_category_name"
-    per_order = (
-        t["order_items"]
-        .select("order_id", "product_id")
-        .join(t["products"].select("product_id", category), "product_id")
-        .select("order_id", category)
-        .distinct()
-    )
-    per_customer_id = (
-        per_order.join(delivered_orders(t["orders"]), "order_id")
-        .select("customer_id", category)
-        .distinct()
-    )
-    per_person = with_person(per_customer_id, t).select(PERSON, category).distinct()
-    return per_person.groupBy(PERSON).agg(F.count(category).alias("category_count"))
+    """Distinct categories per person over delivered lines whose product is known."""
+    contents = order_contents(t["order_items"], t["products"]).select("order_id", "categories")
+    baskets = with_person(contents.join(delivered_orders(t["orders"]), "order_id"), t)
+    known = baskets.select(PERSON, F.explode("categories").alias("category")).distinct()
+    return known.groupBy(PERSON).agg(F.count(F.lit(1)).alias("category_count"))
 
 
 def customer_features(t: Tables) -> DataFrame:
     """The feature view: one row per person with a delivered order that has items.
 
-    Spend, trend and satisfaction come from one pass over orders, items and reviews that
-    reduces order -> (person, day) -> person; only the category count needs a second one.
+    All four blocks come from one pass over the tables, reduced in three steps:
+    order -> (person, day) -> person. Stitching separately computed blocks would read
+    orders and customers four times and shuffle them twice as often.
     """
     newest = reference_date(t["orders"]).scalar()
     person = _per_person(_daily(_order_facts(t))).where("order_count > 0")
-    features = person.join(diversity(t), PERSON, "left")
     zero = F.lit(0.0)
-    return features.select(
+    return person.select(
         PERSON,
         "order_count",
         days_between(F.col("last_purchase"), newest).alias("recency_days"),
@@ -157,49 +145,55 @@ def customer_features(t: Tables) -> DataFrame:
         F.coalesce(_trend(), zero).alias("basket_trend"),
         F.coalesce(_mean_score(), zero).alias("avg_review_score"),
         F.coalesce(_negative(), zero).alias("negative_review_pct"),
-        F.coalesce("category_count", F.lit(0)).alias("category_count"),
+        "category_count",
     )
 
 
 def _order_facts(t: Tables) -> DataFrame:
-    """Orders that are a basket (delivered, with items), have a review, or both."""
+    """What each order tells about its person, as one basket or review row per order
+    (category NULL) and one row per category of a basket.
+
+    A basket is a delivered order with items; other orders matter only for their reviews.
+    """
     orders = t["orders"].select(
         "order_id", "customer_id", PURCHASED, is_delivered().alias("delivered")
     )
-    facts = orders.join(order_values(t["order_items"]), "order_id", "left").join(
-        review_totals(t["order_reviews"]), "order_id", "left"
-    )
+    facts = orders.join(
+        order_contents(t["order_items"], t["products"]), "order_id", "left"
+    ).join(review_totals(t["order_reviews"]), "order_id", "left")
     basket = F.coalesce(F.col("delivered") & F.col("lines").isNotNull(), F.lit(False))
     facts = facts.withColumn("is_basket", basket).where(
         F.col("is_basket") | F.col("reviews").isNotNull()
     )
-    return with_person(facts, t)
+    order_row = F.array(F.lit(None).cast("string"))
+    entries = F.when(F.col("is_basket"), F.concat(order_row, "categories")).otherwise(order_row)
+    return with_person(facts, t).withColumn("category", F.explode(entries))
 
 
-_ADDITIVE = ("valued_lines", "reviews", "scored_reviews", "score_sum", "negative_reviews")
+_REVIEW_MEASURES = ("reviews", "scored_reviews", "score_sum", "negative_reviews")
 
 
 def _daily(facts: DataFrame) -> DataFrame:
-    """One row per person and day: additive measures plus the day's run of baskets.
+    """One row per person and day, and one per category bought that day.
 
-    The run keeps its first and last value and the changes inside the day, which is all
-    that is needed to join it to the neighbouring days.
+    The day's run of baskets keeps its first and last value and the changes inside the
+    day, which is all that is needed to join it to the neighbouring days. Working by
+    (person, day) spreads a person with very many orders over many tasks.
     """
-    basket = F.col("is_basket")
+    is_order = F.col("category").isNull()
+    basket = F.col("is_basket") & is_order
     inside_day = Window.partitionBy(PERSON, "day").orderBy(
         basket.desc(), F.col(PURCHASED).asc_nulls_last(), F.col("order_id")
     )
-    opens = basket & (F.row_number().over(inside_day) == 1)
-    closes = basket & ~F.lead(basket, 1, False).over(inside_day)
-    change = F.when(basket, F.col("order_value") - F.lag("order_value").over(inside_day))
-    facts = facts.withColumn("day", F.col(PURCHASED).cast("date")).withColumns(
-        {"opens": opens, "closes": closes, "change": change}
+    change = F.col("order_value") - F.lag("order_value").over(inside_day)
+    runs = facts.withColumn("day", F.col(PURCHASED).cast("date")).withColumns(
+        {
+            "opens": basket & (F.row_number().over(inside_day) == 1),
+            "closes": basket & ~F.lead(basket, 1, False).over(inside_day),
+            "change": F.when(basket, change),
+        }
     )
-    additive = [name for name in _ADDITIVE if name in facts.columns]
-    counted = {
-        "valued_lines": F.when(basket, F.col("valued_lines")),
-    }
-    return facts.groupBy(PERSON, "day").agg(
+    return runs.groupBy(PERSON, "day", "category").agg(
         F.max(basket).alias("has_basket"),
         F.max(F.when(F.col("opens"), F.col("order_value"))).alias("opening"),
         F.max(F.when(F.col("closes"), F.col("order_value"))).alias("closing"),
@@ -208,24 +202,27 @@ def _daily(facts: DataFrame) -> DataFrame:
         F.count_if(basket).alias("order_count"),
         F.max(F.when(basket, F.col(PURCHASED))).alias("last_purchase"),
         F.sum(F.when(basket, F.col("order_value"))).alias("total_value"),
-        *[F.sum(counted.get(name, F.col(name))).alias(name) for name in additive],
+        F.sum(F.when(basket, F.col("valued_lines"))).alias("valued_lines"),
+        *[F.sum(F.when(is_order, F.col(name))).alias(name) for name in _REVIEW_MEASURES],
     )
 
 
 def _per_person(daily: DataFrame) -> DataFrame:
-    """Join the days of each person: at most one row per calendar day and person."""
+    """Join the days of each person: at most one row per calendar day and category."""
     run = Window.partitionBy(PERSON).orderBy(
         F.col("has_basket").desc(), F.col("day").asc_nulls_last()
     )
     jump = F.when(F.col("has_basket"), F.col("opening") - F.lag("closing").over(run))
-    daily = daily.withColumn("jump", jump)
-    additive = [name for name in _ADDITIVE if name in daily.columns]
-    return daily.groupBy(PERSON).agg(
-        (
-            F.coalesce(F.sum("change_sum"), F.lit(0)) + F.coalesce(F.sum("jump"), F.lit(0))
-        ).alias("change_sum"),
-        (F.sum("change_count") + F.count("jump")).alias("change_count"),
-        F.sum("order_count").alias("order_count"),
-        F.max("last_purchase").alias("last_purchase"),
-        *sums("total_value", *additive),
+    return (
+        daily.withColumn("jump", jump)
+        .groupBy(PERSON)
+        .agg(
+            (F.coalesce(F.sum("change_sum"), F.lit(0)) + F.coalesce(F.sum("jump"), F.lit(0))).alias(
+                "change_sum"
+            ),
+            (F.sum("change_count") + F.count("jump")).alias("change_count"),
+            F.max("last_purchase").alias("last_purchase"),
+            *sums("order_count", "total_value", "valued_lines", *_REVIEW_MEASURES),
+            F.countDistinct("category").alias("category_count"),
+        )
     )
