@@ -21,22 +21,22 @@ def read_csv(
 ) -> DataFrame:
     """Read one table from CSV (header, comma, doubled quotes) with its declared types.
 
-    A field that does not fit its type fails the read; column pruning is off so that every
-    field is parsed whatever the query selects. A multi-line file cannot be split over
-    tasks, so that mode is the default only for free text; a line break inside quotes
-    elsewhere fails the read instead of shifting fields.
+    A field that does not fit its type fails the read. Spark parses only the columns a
+    query needs, so the check is complete only when all columns are read, as
+    ``import_csv`` does. A multi-line file cannot be split over tasks, so that mode is the
+    default only for free text; a line break inside quotes elsewhere fails the read
+    instead of shifting fields.
     """
     if multiline is None:
         multiline = table in FREE_TEXT_TABLES
-    return spark.read.schema(SCHEMAS[table]).csv(
-        path,
-        header=True,
-        sep=",",
-        escape='"',
-        mode="FAILFAST",
-        multiLine=multiline,
-        columnPruning=False,
-    )
+    options = {
+        "header": True,
+        "sep": ",",
+        "escape": '"',
+        "mode": "FAILFAST",
+        "multiLine": multiline,
+    }
+    return spark.read.schema(SCHEMAS[table]).options(**options).csv(path)
 
 
 def read_csv_tables(spark: SparkSession, paths: dict[str, str]) -> Tables:
@@ -49,6 +49,12 @@ def write_tables(tables: Tables, directory: str) -> None:
         df.write.mode("overwrite").parquet(f"{directory}/{name}")
 
 
+def import_csv(spark: SparkSession, paths: dict[str, str], directory: str) -> Tables:
+    """Load CSV files into ``directory``, checking every field, and return the stored tables."""
+    write_tables(read_csv_tables(spark, paths), directory)
+    return load_tables(spark, directory, paths)
+
+
 def load_tables(
     spark: SparkSession, directory: str | None = None, names: Iterable[str] = SCHEMAS
 ) -> Tables:
