@@ -46,17 +46,23 @@ def shortened(text: Column, length: int) -> Column:
     return F.concat(F.substring(text, 1, length), F.lit("..."))
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """Half-even text with a fixed number of decimals and no thousands separator."""
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def money_text(amount: Column) -> Column:
     return F.concat(F.lit("R$"), F.format_number(amount, 0))
 
 
 def millions_text(amount: Column) -> Column:
-    return F.concat(F.lit("R$"), F.format_number(amount.cast("double") / F.lit(1e6), 2), F.lit("M"))
+    return F.concat(F.lit("R$"), fixed(amount.cast("double") / F.lit(1e6), 2), F.lit("M"))
 
 
 def percent_text(value: Column, decimals: int) -> Column:
-    return F.concat(F.format_number(value, decimals), F.lit("%"))
+    return F.concat(fixed(value, decimals), F.lit("%"))
 
 
 def score_text(score: Column) -> Column:
-    return F.coalesce(F.format_number(score, 2), F.lit("-"))
+    return F.coalesce(fixed(score, 2), F.lit("-"))

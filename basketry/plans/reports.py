@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import (
     UNKNOWN_CATEGORY,
+    fixed,
     is_delivered,
     millions_text,
     money_text,
@@ -247,5 +248,5 @@ def kpi_labels(row: DataFrame) -> DataFrame:
         F.format_number("customer_count", 0).alias("customers"),
         F.format_number("item_line_count", 0).alias("orders"),
         percent_text(F.col("churn_pct"), 1).alias("churn"),
-        F.format_number("mean_score", 2).alias("mean_score"),
+        fixed(F.col("mean_score"), 2).alias("mean_score"),
     )

@@ -6,7 +6,14 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import money_text, month_start, score_text
+from basketry.functions.columns import (
+    fixed,
+    millions_text,
+    money_text,
+    month_start,
+    percent_text,
+    score_text,
+)
 from basketry.plans import features, quality, reports
 from fixtures import by_key, customer, item, order, payment, review, shop, tables
 
@@ -140,6 +147,10 @@ def test_texts(spark):
         "R$1,234,568",
         "-",
     )
+    big = spark.sql("select 4321987654.3bd as m, 0.125d as x, 2.5d as y").select(
+        millions_text(F.col("m")), fixed(F.col("x"), 2), percent_text(F.col("y"), 0)
+    )
+    assert tuple(big.collect()[0]) == (f"R${4321.9876543:.2f}M", f"{0.125:.2f}", f"{2.5:.0f}%")
 
 
 def test_categories_use_translation_then_own_name_then_unknown(t):
