@@ -83,7 +83,7 @@ def basket_trend(t: Tables) -> DataFrame:
     """Mean change between successive orders; NULL for a person with one order."""
     unused = {name: F.lit(0) for name in ("valued_lines", *_REVIEW_MEASURES)}
     baskets = _person_baskets(t).withColumns(
-        {"is_basket": F.lit(True), "category": F.lit(None).cast("string"), **unused}
+        {"is_basket": F.lit(True), "categories": F.array().cast("array<string>"), **unused}
     )
     return _per_person(_daily(baskets)).select(PERSON, _trend().alias("basket_trend"))
 
@@ -149,9 +149,11 @@ def customer_features(t: Tables) -> DataFrame:
     )
 
 
+_REVIEW_MEASURES = ("reviews", "scored_reviews", "score_sum", "negative_reviews")
+
+
 def _order_facts(t: Tables) -> DataFrame:
-    """What each order tells about its person, as one basket or review row per order
-    (category NULL) and one row per category of a basket.
+    """One row per order that is a basket, has a review, or both.
 
     A basket is a delivered order with items; other orders matter only for their reviews.
     """
@@ -165,26 +167,21 @@ def _order_facts(t: Tables) -> DataFrame:
     facts = facts.withColumn("is_basket", basket).where(
         F.col("is_basket") | F.col("reviews").isNotNull()
     )
-    order_row = F.array(F.lit(None).cast("string"))
-    entries = F.when(F.col("is_basket"), F.concat(order_row, "categories")).otherwise(order_row)
-    return with_person(facts, t).withColumn("category", F.explode(entries))
-
-
-_REVIEW_MEASURES = ("reviews", "scored_reviews", "score_sum", "negative_reviews")
+    return with_person(facts, t)
 
 
 def _daily(facts: DataFrame) -> DataFrame:
-    """One row per person and day, and one per category bought that day.
+    """One row per person and day (category NULL), and one per category bought that day.
 
     The day's run of baskets keeps its first and last value and the changes inside the
     day, which is all that is needed to join it to the neighbouring days. Working by
-    (person, day) spreads a person with very many orders over many tasks.
+    (person, day) spreads a person with very many orders over many tasks. Categories are
+    unfolded only after the rows are sorted, next to the aggregation that folds them again.
     """
-    is_order = F.col("category").isNull()
-    basket = F.col("is_basket") & is_order
     inside_day = Window.partitionBy(PERSON, "day").orderBy(
-        basket.desc(), F.col(PURCHASED).asc_nulls_last(), F.col("order_id")
+        F.col("is_basket").desc(), F.col(PURCHASED).asc_nulls_last(), F.col("order_id")
     )
+    basket = F.col("is_basket")
     change = F.col("order_value") - F.lag("order_value").over(inside_day)
     runs = facts.withColumn("day", F.col(PURCHASED).cast("date")).withColumns(
         {
@@ -193,17 +190,27 @@ def _daily(facts: DataFrame) -> DataFrame:
             "change": F.when(basket, change),
         }
     )
-    return runs.groupBy(PERSON, "day", "category").agg(
-        F.max(basket).alias("has_basket"),
-        F.max(F.when(F.col("opens"), F.col("order_value"))).alias("opening"),
-        F.max(F.when(F.col("closes"), F.col("order_value"))).alias("closing"),
-        F.sum("change").alias("change_sum"),
-        F.count("change").alias("change_count"),
-        F.count_if(basket).alias("order_count"),
-        F.max(F.when(basket, F.col(PURCHASED))).alias("last_purchase"),
-        F.sum(F.when(basket, F.col("order_value"))).alias("total_value"),
-        F.sum(F.when(basket, F.col("valued_lines"))).alias("valued_lines"),
-        *[F.sum(F.when(is_order, F.col(name))).alias(name) for name in _REVIEW_MEASURES],
+    order_row = F.array(F.lit(None).cast("string"))
+    unfolded = F.when(basket, F.concat(order_row, "categories")).otherwise(order_row)
+    rows = runs.withColumn("category", F.explode(unfolded))
+
+    is_order = F.col("category").isNull()
+    is_basket_row = basket & is_order
+
+    def of(condition: Column, name: str) -> Column:
+        return F.when(condition, F.col(name))
+
+    return rows.groupBy(PERSON, "day", "category").agg(
+        F.max(is_basket_row).alias("has_basket"),
+        F.max(of(F.col("opens") & is_order, "order_value")).alias("opening"),
+        F.max(of(F.col("closes") & is_order, "order_value")).alias("closing"),
+        F.sum(of(is_order, "change")).alias("change_sum"),
+        F.count(of(is_order, "change")).alias("change_count"),
+        F.count_if(is_basket_row).alias("order_count"),
+        F.max(of(is_basket_row, PURCHASED)).alias("last_purchase"),
+        F.sum(of(is_basket_row, "order_value")).alias("total_value"),
+        F.sum(of(is_basket_row, "valued_lines")).alias("valued_lines"),
+        *[F.sum(of(is_order, name)).alias(name) for name in _REVIEW_MEASURES],
     )
 
 

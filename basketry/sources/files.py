@@ -63,27 +63,22 @@ def load_tables(
     return {name: spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}") for name in names}
 
 
-def write_layout(
-    orders: DataFrame, table: str, buckets: int, path: str | None = None
-) -> DataFrame:
-    """Store orders for lookups by status and customer and return the stored table.
+def write_layout(orders: DataFrame, directory: str, parts: int) -> None:
+    """Store orders for lookups by status and customer.
 
-    One folder per status prunes a status filter; inside, rows are hashed by
-    ``customer_id`` into sorted buckets, so a lookup reads one bucket and a join on the
-    customer needs no shuffle of this side. Rows are brought to their bucket first, which
-    keeps one file per status and bucket.
+    One folder per status prunes a status filter. Inside, files cover ranges of
+    ``customer_id`` and are sorted by it, so the scan skips files and row groups by their
+    minimum and maximum. ``order_id`` closes the range key: a customer with very many
+    orders spreads over several files, which hash buckets would not allow.
     """
-    writer = (
-        orders.repartition(buckets, "customer_id")
+    keys = ["order_status", "customer_id", "order_id"]
+    (
+        orders.repartitionByRange(parts, *keys)
+        .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .partitionBy("order_status")
-        .bucketBy(buckets, "customer_id")
-        .sortBy("customer_id")
+        .parquet(directory)
     )
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(table)
-    return orders.sparkSession.table(table)
 
 
 def register_views(tables: Tables) -> None:

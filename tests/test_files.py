@@ -107,26 +107,28 @@ def test_views_and_reuse(spark):
     assert not t["orders"].storageLevel.useMemory
 
 
-def test_layout_prunes_and_saves_the_shuffle(spark, tmp_path):
-    t = shop(spark)
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    stored = write_layout(t["orders"], "orders_by_customer", 4, str(tmp_path / "layout"))
-    try:
-        assert sorted(map(str, stored.select(t["orders"].columns).collect())) == sorted(
-            map(str, t["orders"].collect())
-        )
-        lookup = stored.where((F.col("order_status") == "delivered") & (F.col("customer_id") == "c1"))
-        # Shown in the plan only when the scan keeps its buckets.
-        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-        plan = lookup._jdf.queryExecution().executedPlan().toString()
-        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
-        assert "PartitionFilters: [isnotnull(order_status" in plan
-        assert "SelectedBucketsCount: 1 out of 4" in plan
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        joined = stored.join(t["customers"], "customer_id")
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning(customer_id") == 1
-        assert joined.count() == 9
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        spark.sql("drop table orders_by_customer")
+def test_layout_prunes_by_status_and_splits_a_hot_customer(spark, tmp_path):
+    directory = str(tmp_path / "layout")
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    orders = spark.range(3000).select(
+        F.format_string("o%05d", "id").alias("order_id"),
+        F.format_string("c%05d", hot).alias("customer_id"),
+        F.when(F.col("id") % 100 == 1, "canceled").otherwise("delivered").alias("order_status"),
+    )
+    write_layout(orders, directory, 8)
+    stored = spark.read.parquet(directory)
+    assert stored.select(orders.columns).exceptAll(orders).count() == 0
+    assert stored.count() == 3000
+
+    lookup = stored.where((F.col("order_status") == "delivered") & (F.col("customer_id") == "c00500"))
+    plan = lookup._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_status" in plan
+    assert "EqualTo(customer_id,c00500)" in plan
+
+    files = stored.where("order_status = 'delivered'").groupBy(F.input_file_name().alias("file"))
+    ranges = files.agg(
+        F.min("customer_id").alias("low"), F.max("customer_id").alias("high"), F.count("*").alias("n")
+    ).collect()
+    holding = [r for r in ranges if r.low <= "c00500" <= r.high]
+    assert len(holding) == 1
+    assert max(r.n for r in ranges) < 1000  # the hot customer alone has more
