@@ -233,3 +233,25 @@ def _per_person(daily: DataFrame) -> DataFrame:
             F.countDistinct("category").alias("category_count"),
         )
     )
+
+
+# View and column names existing SQL on the feature view uses.
+VIEW_NAME = "v_customer_features"
+VIEW_COLUMNS: dict[str, str] = {
+    "customer_unique_id": "customer_unique_id",
+    "order_count": "nb_commandes",
+    "recency_days": "recence_jours",
+    "total_value": "montant_total",
+    "avg_item_value": "panier_moyen",
+    "basket_trend": "tendance_panier_moyen",
+    "avg_review_score": "score_moyen",
+    "negative_review_pct": "pct_reviews_negatives",
+    "category_count": "nb_categories",
+}
+
+
+def register_feature_view(t: Tables) -> None:
+    """Publish the feature view to SQL, under our column names and under the French ones."""
+    features = customer_features(t)
+    features.createOrReplaceTempView("customer_features")
+    features.withColumnsRenamed(VIEW_COLUMNS).createOrReplaceTempView(VIEW_NAME)

@@ -34,6 +34,10 @@ from basketry.schema import MONEY_TOTAL, Tables
 
 def monthly_timeline(t: Tables, years: Sequence[int] | None = None) -> DataFrame:
     """Item lines and revenue of delivered orders per month; no years means all years."""
+    return _months(t, years).orderBy(F.col("month").asc_nulls_last())
+
+
+def _months(t: Tables, years: Sequence[int] | None = None) -> DataFrame:
     purchased = F.col(PURCHASED)
     months = (
         delivered_baskets(t)
@@ -43,7 +47,7 @@ def monthly_timeline(t: Tables, years: Sequence[int] | None = None) -> DataFrame
             F.sum("order_value").cast(MONEY_TOTAL).alias("revenue"),
         )
     )
-    return only_years(months, years).orderBy(F.col("month").asc_nulls_last())
+    return only_years(months, years)
 
 
 def only_years(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
@@ -52,7 +56,7 @@ def only_years(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
 
 def active_years(t: Tables) -> DataFrame:
     """The years of the timeline, ascending."""
-    return monthly_timeline(t).select("year").distinct().orderBy(F.col("year").asc_nulls_last())
+    return _months(t).select("year").distinct().orderBy(F.col("year").asc_nulls_last())
 
 
 def by_state(t: Tables, n: int | None = None) -> DataFrame:
@@ -231,11 +235,20 @@ def kpis(
 
     The years narrow only the timeline figures.
     """
-    months = monthly_timeline(t, years)
+    totals = (
+        _months(t, years)
+        .agg(
+            F.struct(
+                F.sum("revenue").cast(MONEY_TOTAL).alias("revenue"),
+                F.sum("item_line_count").alias("item_line_count"),
+            )
+        )
+        .scalar()
+    )
     return churn_rate(features, days).select(
-        months.agg(F.sum("revenue").cast(MONEY_TOTAL)).scalar().alias("revenue"),
+        totals["revenue"].alias("revenue"),
         "customer_count",
-        months.agg(F.sum("item_line_count").cast("long")).scalar().alias("item_line_count"),
+        totals["item_line_count"].alias("item_line_count"),
         "churn_pct",
         mean_review(t).scalar().alias("mean_score"),
     )

@@ -107,6 +107,15 @@ def test_missing_measures_are_zero_in_the_view(t):
     assert (no_review.avg_review_score, no_review.negative_review_pct) == (0.0, 0.0)
 
 
+def test_registered_view(spark, t):
+    features.register_feature_view(t)
+    ours = spark.table("customer_features").select(*features.VIEW_COLUMNS).collect()
+    named = spark.sql(
+        f"select {', '.join(features.VIEW_COLUMNS.values())} from {features.VIEW_NAME}"
+    ).collect()
+    assert sorted(map(tuple, ours)) == sorted(map(tuple, named)) and len(ours) == 3
+
+
 def _random_shop(spark, seed, orders=400, hot=True):
     """One person holds about a third of all orders; values and times may be NULL or tie."""
     rng = random.Random(seed)
