@@ -12,12 +12,12 @@ CHURN_DAYS = 180
 
 # Segment labels with their criteria and recommended action.
 SEGMENT_ACTIONS: list[tuple[str, str, str]] = [
-    ("Champion", "recent, frequent, high value", "Retain, VIP programme"),
-    ("Fidele", "recent, frequent or high value", "Upsell, cross-sell"),
-    ("Nouveau", "recent, one order", "Onboarding, second purchase"),
-    ("En danger", "not recent but frequent", "Urgent retention campaign"),
-    ("A risque", "inactive, average history", "Reactivation e-mail"),
-    ("Perdu", "inactive for more than 300 days", "Win-back campaign or give up"),
+    ("Champion", "Récent + fréquent + valeur élevée", "Fidéliser, programme VIP"),
+    ("Fidele", "Récent + fréquent ou valeur élevée", "Upsell, cross-sell"),
+    ("Nouveau", "Récent, 1 commande", "Onboarding, 2ème achat"),
+    ("En danger", "Pas récent mais fréquent", "Campagne de rétention urgente"),
+    ("A risque", "Inactif, historique moyen", "Email de réactivation"),
+    ("Perdu", "Inactif > 300 jours", "Campagne win-back ou abandon"),
 ]
 
 

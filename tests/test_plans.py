@@ -82,6 +82,15 @@ def test_feature_view_reads_each_table_once(stored, no_broadcast):
     ]
 
 
+def test_rank_computes_the_totals_once(stored, no_broadcast):
+    df = features.customer_rank(stored)
+    done = df._jdf.queryExecution()
+    df.collect()
+    final = done.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 3
+    assert final.count("ReusedExchange") >= 1
+
+
 def test_no_window_over_a_whole_persons_orders(stored, no_broadcast):
     text = plan(features.basket_changes(stored))
     keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)

@@ -42,8 +42,8 @@ def test_every_segment_has_an_action(spark):
     rows = [("a", 2, 1, "300.00"), ("b", 1, 301, "1.00")]
     got = segments.segment_actions(segments.rfm_segment(people(spark, rows))).collect()
     assert {(r.customer_unique_id, r.action) for r in got} == {
-        ("a", "Retain, VIP programme"),
-        ("b", "Win-back campaign or give up"),
+        ("a", "Fidéliser, programme VIP"),
+        ("b", "Campagne win-back ou abandon"),
     }
 
 
