@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, pii, quality_rules
+from basketry.llm import (
+    compression_quality,
+    decontaminate,
+    language_id,
+    pii,
+    quality_rules,
+    simhash,
+)
 from basketry.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +24,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(docs, labels).drop("n_lines", "n_capitals", "n_letters")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, benchmark).drop("items")
@@ -26,10 +41,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return compression_quality.report(docs, labels)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_simhash": op3_simhash,
+    "op5_language_id": op5_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
+    "op10_compression_quality": op10_compression_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
