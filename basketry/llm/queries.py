@@ -10,6 +10,7 @@ from basketry.llm import (
     compression_quality,
     decontaminate,
     language_id,
+    packing,
     pii,
     quality_rules,
     simhash,
@@ -32,6 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, benchmark).drop("items")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
     "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_compression_quality": op10_compression_quality,
