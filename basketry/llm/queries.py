@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import (
+    chat,
     compression_quality,
     decontaminate,
     language_id,
@@ -14,6 +15,7 @@ from basketry.llm import (
     pii,
     quality_rules,
     simhash,
+    warc_zip,
 )
 from basketry.llm.shared import table
 
@@ -25,6 +27,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(docs, labels).drop("n_lines", "n_capitals", "n_letters")
 
 
+def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.report(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.report(docs, benchmark).drop("items")
@@ -53,9 +63,11 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc_zip": op2_warc_zip,
     "op3_simhash": op3_simhash,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_compression_quality": op10_compression_quality,
