@@ -11,6 +11,7 @@ from basketry.llm import (
     compression_quality,
     decontaminate,
     language_id,
+    oracle,
     packing,
     pii,
     quality_rules,
@@ -79,4 +80,5 @@ QUERIES: dict[str, Query] = {
     "op10_compression_quality": op10_compression_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL form; their tests compare them with brute force or held-out labels.
+ORACLE_SQL: dict[str, str] = oracle.STATEMENTS
