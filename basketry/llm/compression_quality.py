@@ -48,6 +48,8 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 def pieces(text: str) -> list[bytes]:
     """The whole text in pieces of ``PIECE`` characters, the last one longer than half of that."""
+    if not text:
+        return []
     cuts = list(range(0, len(text), PIECE))
     if len(cuts) > 1 and len(text) - cuts[-1] <= PIECE // 2:
         cuts.pop()
