@@ -1,0 +1,71 @@
+import hashlib
+import random
+import re
+
+from helpers import WORDS, docs, empty, prose, rows
+
+from basketry.llm import decontaminate
+
+
+def split(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def plain(table, items):
+    found = {}
+    for item, text in items:
+        w = split(text)
+        for s in range(max(1, len(w) - 12) if w else 0):
+            found.setdefault(tuple(w[s : s + 13]), set()).add(str(item))
+    out = []
+    for i, text in table:
+        w = split(text)
+        hit, ids = set(), set()
+        for m in {len(k) for k in found}:
+            for s in range(len(w) - m + 1):
+                if tuple(w[s : s + m]) in found:
+                    hit.update(range(s, s + m))
+                    ids |= found[tuple(w[s : s + m])]
+        digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        out.append((i, len(w), len(hit), len(ids), digest, bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def case():
+    rng = random.Random(1)
+    items = [(i, prose(rng, n)) for i, n in enumerate((40, 14, 13, 12, 7, 2, 1, 60))]
+    items += [(20, None), (21, " .,"), (22, items[0][1].upper()), (0, items[0][1]), (23, "É été Ünder ß " * 5)]
+    table = [(1, None), (2, ""), (3, "..."), (4, prose(rng, 30))]
+    for i in range(60):
+        words = items[rng.choice([0, 1, 2, 3, 4, 7])][1].split()
+        a = rng.randrange(len(words))
+        part = words[a : a + rng.randrange(1, 50)]
+        glue = rng.choice([" ", ", ", " - ", "\n"])
+        table.append((10 + i, prose(rng, rng.randrange(60)) + glue + glue.join(part).title() + glue + prose(rng, rng.randrange(200))))
+    table += [table[9], (12, prose(rng, 20)), (None, items[7][1]), (90, prose(rng, 20_000) + " " + items[0][1]), (91, "É été Ünder ß " * 5)]
+    return table, items
+
+
+def test_equals_brute_force(spark):
+    table, items = case()
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as window", "2 as s")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows(decontaminate.report(docs(spark, table), bench), *columns) == plain(table, items)
+    # Several broadcasts of few windows find the same.
+    found = decontaminate.hits(docs(spark, table), bench, block=30)
+    assert found.count() == len({r for r in plain(table, items) if r[2]})
+
+
+def test_removers(spark):
+    rng = random.Random(2)
+    item = " ".join(rng.choice(WORDS) + str(i) for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    table = [(1, item), (2, f"Clean: one! {item}. Then, two."), (3, "clean " * 900 + item), (4, None), (5, "")]
+    kept = decontaminate.remove_documents(docs(spark, table), bench)
+    assert rows(kept, "doc_id") == [(3,), (4,), (5,)] and kept.columns == docs(spark, table).columns
+    cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs(spark, table), bench).collect()}
+    assert cut == {1: "", 2: "Clean: one! Then, two.", 3: "clean " * 900, 4: None, 5: ""}
+    none = bench.limit(0)
+    assert decontaminate.report(docs(spark, table), none).where("n_hit > 0").count() == 0
+    assert decontaminate.report(empty(spark), bench).count() == 0

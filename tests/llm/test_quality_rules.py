@@ -1,0 +1,73 @@
+import math
+import random
+from pathlib import Path
+
+import pandas as pd
+import pytest
+from compare import compare
+from helpers import WORDS, docs, empty, prose, rows
+
+from basketry.llm import queries, quality_rules
+
+
+def test_binomial_is_exact():
+    for n, p in ((1, 0.5), (30, 0.01), (400, 0.0083)):
+        for k in (0, 1, n // 2, n):
+            want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+            assert quality_rules.binomial_at_most(k, n, p) == pytest.approx(min(1, want))
+
+
+def test_repeated_words_is_the_definition():
+    rng = random.Random(1)
+    for n in (0, 4, 5, 6, 40, 300):
+        words = [rng.choice("ab") if n < 50 else rng.choice(WORDS) for _ in range(n)]
+        words += words[:7] * (n == 300)
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
+        assert quality_rules.repeated_words([w.encode() for w in words]) == len(hit)
+
+
+def test_choice_needs_certainty_and_gain():
+    choose = quality_rules.choose
+    assert choose([0, 0], [1, 5], 2000, 0.01, 0.001) == 1
+    assert choose([0, 0], [1, 5], 100, 0.01, 0.001) is None  # too few labels to certify
+    assert choose([0, 900], [4, 500], 2000, 0.01, 0.001) == 0  # stops at the first failure
+    assert choose([0, 1], [0, 9], 2000, 0.01, 0.001) is None  # no gain
+    assert choose([0], [1], 0, 0.01, 0.001) is None
+
+
+def labelled(n=2600):
+    rng = random.Random(2)
+    table, marks = [], []
+    for i in range(n):
+        bad = i % 5 == 0
+        text = prose(rng, 14)
+        text = " ".join(f"{w}###" for w in text.split()) if bad else text
+        table.append((i, text if i % 97 else None, None if i % 3 == 0 else "en"))
+        if i % 7:
+            marks.append((i, 0 if bad else 1, 0))
+    marks += [(1, 1, 0), (1, 1, 0), (2, None, 0), (None, 1, 0)]
+    table += [(5, "a b c"), (5, None), (None, prose(rng, 30))]
+    return table, marks
+
+
+def test_report_equals_sql_with_certified_cutoffs(spark, tmp_path):
+    table, marks = labelled()
+    frame = pd.DataFrame([(*r, "en")[:3] for r in table], columns=["doc_id", "text", "lang"]).astype({"doc_id": "Int64"})
+    frame.to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame(marks, columns=["doc_id", "quality", "toxic"]).astype("Int64").to_parquet(tmp_path / "labels.parquet")
+    name = "op1_quality_rules"
+    assert compare(spark, Path(tmp_path), queries.QUERIES[name], queries.ORACLE_SQL[name]) == len(table)
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    assert found.where("not kept and not base_failed").count() > 300
+
+
+def test_passing_keeps_rows_and_columns(spark):
+    rng = random.Random(3)
+    good = prose(rng, 40)
+    table = docs(spark, [(1, good), (1, good), (2, None), (3, ""), (None, good, None), (4, "w " * 30), (5, prose(rng, 30_000))])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality_rules.passing(table, labels)
+    assert kept.columns == table.columns
+    assert rows(kept, "doc_id") == sorted([(1,), (1,), (5,), (None,)], key=repr)
+    assert quality_rules.report(empty(spark), labels.limit(0)).count() == 0

@@ -1,0 +1,98 @@
+import random
+
+import xxhash
+from helpers import docs, empty, prose, rows
+
+from basketry.llm import simhash
+
+
+def plain_fingerprint(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(points, bits):
+    parent = {p: p for p in points}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in points:
+        for b in points:
+            if a < b and (a ^ b).bit_count() <= bits:
+                parent[find(a)] = find(b)
+    out = {}
+    for p in points:
+        out.setdefault(find(p), set()).add(p)
+    return sorted(map(sorted, out.values()))
+
+
+def test_fingerprint_is_the_definition(spark):
+    rng = random.Random(1)
+    texts = [None, "", " \n", "One", "ONE two", "É x a\x1cb c D", *(prose(rng, n) for n in (3, 4, 50, 3000))]
+    for t in texts:
+        assert simhash.fingerprint(t) == plain_fingerprint(t)
+    joined = spark.sql("select xxhash64('a b c') as h").first().h
+    assert joined % (1 << 64) == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_links_find_every_group(spark):
+    rng = random.Random(2)
+    points = set()
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        points.add(base)
+        for _ in range(rng.randrange(6)):
+            base ^= sum(1 << rng.randrange(64) for _ in range(rng.randrange(1, 5)))
+            points.add(base & (1 << 64) - 1)
+    # A crowd that shares its low half, and one its high half.
+    shared = rng.getrandbits(64)
+    for _ in range(30):
+        points.add(shared ^ (sum(1 << b for b in rng.sample(range(12), rng.randrange(4))) << 32))
+        points.add(shared ^ sum(1 << b for b in rng.sample(range(12), rng.randrange(4))))
+    signed = [(p - (p >> 63 << 64),) for p in sorted(points)]
+    fps = spark.createDataFrame(signed, "fp long")
+    for bits, segments, crowd in ((3, 2, 256), (3, 2, 4)):
+        edges = simhash.links(fps, bits, segments, crowd)
+        found = {p: p for p in points}
+        for r in simhash.connected(edges).collect():
+            found[r.node % (1 << 64)] = r.root
+        out = {}
+        for p, root in found.items():
+            out.setdefault(root if root < 0 else root, set()).add(p)
+        roots = {}
+        for p in points:
+            key = found[p] if found[p] < (1 << 63) else found[p] - (1 << 64)
+            roots.setdefault(key, set()).add(p)
+        assert sorted(map(sorted, roots.values())) == groups(sorted(points), bits), (bits, segments, crowd)
+
+
+def test_components_and_distinct_documents(spark):
+    rng = random.Random(3)
+    base = prose(rng, 400)
+    table = [(5, base), (3, base), (9, base.upper()), (7, None), (8, ""), (8, ""), (1, prose(rng, 90)), (None, base), (None, "alone it is")]
+    found = {r for r in rows(simhash.components(docs(spark, table)), "doc_id", "component_id")}
+    assert found == {(5, 3), (3, 3), (9, 3), (None, 3), (7, 7), (8, 7), (1, 1), (None, None)}
+    kept = simhash.distinct_documents(docs(spark, table))
+    assert rows(kept, "doc_id") == sorted([(3,), (7,), (1,), (None,)], key=repr)
+    assert kept.columns == docs(spark, table).columns
+    repeated = docs(spark, [(4, base), (4, base)])
+    assert simhash.distinct_documents(repeated).count() == 1
+    assert simhash.components(empty(spark)).count() == 0
+    assert simhash.distinct_documents(empty(spark)).count() == 0
+
+
+def test_a_long_chain_is_one_component(spark):
+    chain = spark.range(200).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(7, 7)], "a long, b long"))
+    found = simhash.connected(chain)
+    assert found.count() == 201
+    assert found.select("root").distinct().collect()[0].root == 0
