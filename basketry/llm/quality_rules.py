@@ -160,7 +160,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per stratum: ``stratum`` and the cutoff of each rule, null for none.
+    """``stratum`` and the cutoff of each rule, null for none, of every stratum that has one.
 
     ``measured`` comes from ``measures``.
     """
@@ -197,7 +197,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame) -> DataFrame:
                 rows.append({"stratum": r["stratum"]} | chosen)
             yield pd.DataFrame(rows, columns=["stratum", *CUTOFFS])
 
-    return table.mapInPandas(pick, "stratum string, " + ", ".join(f"{r} double" for r in CUTOFFS))
+    picked = table.mapInPandas(pick, "stratum string, " + ", ".join(f"{r} double" for r in CUTOFFS))
+    # Stored, so that Spark knows how small it is: else it would shuffle all texts by stratum.
+    some = F.coalesce(*[F.col(r) for r in CUTOFFS]).isNotNull()
+    return stored(picked.where(some), "cutoffs")
 
 
 def _judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
