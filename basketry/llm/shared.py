@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
+#: Rows of an Arrow batch while a table is stored: whole texts are long, and a Python worker
+#: holds a batch several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,8 +48,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     The files outlive any executor. They stay until the owner of the shared folder clears it.
     """
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    conf = df.sparkSession.conf
+    folder, rows = new_folder(df.sparkSession, name), conf.get(_BATCH)
+    try:
+        conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+        df.write.parquet(folder)
+    finally:
+        conf.set(_BATCH, rows)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
