@@ -15,7 +15,7 @@ raw_customers AS (
            CAST(c_custkey - CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END AS VARCHAR)
                AS customer_unique_id,
            n_name AS customer_state
-    FROM customer JOIN nation ON c_nationkey = n_nationkey
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 ),
 raw_orders AS (
     SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
@@ -36,15 +36,15 @@ raw_items AS (
     FROM lineitem
 ),
 raw_payments AS (
-    SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
+    SELECT CASE WHEN o_orderkey % 1000 <> 7 THEN CAST(o_orderkey AS VARCHAR) END AS order_id,
            o_orderpriority AS payment_type,
            CAST(o_totalprice AS DECIMAL(10, 2)) AS payment_value
-    FROM orders WHERE o_orderkey % 1000 <> 7
+    FROM orders
 ),
 raw_reviews AS (
     SELECT CAST(l_orderkey AS VARCHAR) AS order_id,
            CASE WHEN l_discount <> 0 THEN 1 + CAST(l_quantity AS INTEGER) % 5 END AS score
-    FROM lineitem WHERE l_linenumber <= 2
+    FROM lineitem
 ),
 raw_products AS (
     SELECT CAST(p_partkey AS VARCHAR) AS product_id,
@@ -53,7 +53,7 @@ raw_products AS (
 ),
 raw_sellers AS (
     SELECT CAST(s_suppkey AS VARCHAR) AS seller_id, n_name AS seller_state
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
 ),
 raw_translation AS (
     SELECT CAST(n_nationkey AS VARCHAR) AS category, n_name AS english FROM nation
@@ -191,9 +191,9 @@ mean_score AS (
 
 def _kpi_row(months: str, days: int) -> str:
     return f"""
-    SELECT (SELECT CAST(SUM(revenue) AS DOUBLE) FROM ({months})) AS revenue,
+    SELECT (SELECT COALESCE(CAST(SUM(revenue) AS DOUBLE), 0) FROM ({months})) AS revenue,
            COUNT(*) AS customer_count,
-           (SELECT CAST(SUM(item_line_count) AS BIGINT) FROM ({months})) AS item_line_count,
+           (SELECT COALESCE(CAST(SUM(item_line_count) AS BIGINT), 0) FROM ({months})) AS item_line_count,
            100.0::DOUBLE * COUNT(*) FILTER (WHERE recency_days > {days}) / COUNT(*) AS churn_pct,
            (SELECT mean_score FROM mean_score) AS mean_score
     FROM features"""
@@ -214,6 +214,9 @@ def statements(
     not_null: dict[str, list[str]],
     high_value: int,
     years: Sequence[int],
+    no_years: Sequence[int],
+    sample: int,
+    view_columns: dict[str, str],
     payment_kind: str,
     unknown: str,
     actions: Sequence[Sequence[object]],
@@ -221,6 +224,8 @@ def statements(
 ) -> dict[str, str]:
     chosen = ", ".join(map(str, years))
     in_years = f"SELECT * FROM months WHERE year IN ({chosen})"
+    in_none = f"SELECT * FROM months WHERE year IN ({', '.join(map(str, no_years))})"
+    published = ", ".join(f"{a} AS {b}" for a, b in view_columns.items())
     timeline = "SELECT year, month, item_line_count, CAST(revenue AS DOUBLE) AS revenue"
     features = {
         "basic_features": """
@@ -248,6 +253,7 @@ def statements(
                    CAST(negative_review_pct AS DOUBLE) AS negative_review_pct FROM satisfied""",
         "diversity": "SELECT customer_unique_id, category_count FROM varied",
         "customer_features": "SELECT * FROM features",
+        "customer_features_published": f"SELECT {published} FROM features",
         "monthly_timeline": f"{timeline} FROM months",
         "monthly_timeline_years": f"{timeline} FROM ({in_years})",
         "active_years": "SELECT DISTINCT year FROM months",
@@ -309,6 +315,11 @@ def statements(
             SELECT customer_unique_id, recency_days, total_value, segment
             FROM segmented ORDER BY MD5(customer_unique_id || '42'), customer_unique_id
             LIMIT 5000""",
+        "rfm_sample_small": f"""
+            SELECT customer_unique_id, recency_days, total_value, segment
+            FROM segmented ORDER BY MD5(customer_unique_id || '42'), customer_unique_id
+            LIMIT {sample}""",
+        "kpis_no_month": _kpi_row(in_none, 180),
         "kpis": _kpi_row("SELECT * FROM months", 180),
         "kpis_years": _kpi_row(in_years, 360),
         "kpi_labels": f"""
@@ -409,7 +420,7 @@ def statements(
                   WHERE order_id NOT IN (SELECT order_id FROM raw_items)
                   UNION ALL
                   SELECT 5, COUNT(*) FROM raw_orders
-                  WHERE order_id NOT IN (SELECT order_id FROM raw_payments))
+                  WHERE order_id NOT IN (SELECT order_id FROM raw_payments WHERE order_id IS NOT NULL))
             USING (anomaly_id)""",
         "clean_orders": """
             SELECT order_id, order_status,

@@ -120,9 +120,13 @@ def _trend() -> Column:
 
 def diversity(t: Tables) -> DataFrame:
     """Distinct categories per person over delivered lines whose product is known."""
-    contents = order_contents(t["order_items"], t["products"]).select("order_id", "categories")
-    baskets = with_person(contents.join(delivered_orders(t["orders"]), "order_id"), t)
-    known = baskets.select(PERSON, F.explode("categories").alias("category")).distinct()
+    bought = t["order_items"].select("order_id", "product_id").distinct()
+    orders = delivered_orders(t["orders"]).select("order_id", "customer_id")
+    # Reduced to (person, product) before the products are read.
+    products = with_person(bought.join(orders, "order_id"), t).select(PERSON, "product_id").distinct()
+    category = t["products"].select("product_id", "product_category_name")
+    known = products.join(category, "product_id").where(F.col("product_category_name").isNotNull())
+    known = known.select(PERSON, "product_category_name").distinct()
     return known.groupBy(PERSON).agg(F.count(F.lit(1)).alias("category_count"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from basketry.operators.orders import (
     PERSON,
     PURCHASED,
     delivered_baskets,
+    delivered_orders,
     review_totals,
     sums,
     with_person,
@@ -39,24 +42,33 @@ def monthly_timeline(t: Tables, years: Sequence[int] | None = None) -> DataFrame
 
 def _months(t: Tables, years: Sequence[int] | None = None) -> DataFrame:
     purchased = F.col(PURCHASED)
-    months = (
-        delivered_baskets(t)
+    chosen = t | {"orders": t["orders"].where(in_years(purchased, years))} if years else t
+    return (
+        delivered_baskets(chosen)
         .groupBy(F.year(purchased).cast("long").alias("year"), month_start(purchased).alias("month"))
         .agg(
             F.sum("lines").alias("item_line_count"),
             F.sum("order_value").cast(MONEY_TOTAL).alias("revenue"),
         )
     )
-    return only_years(months, years)
 
 
-def only_years(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
-    return df.where(F.col("year").isin(list(years))) if years else df
+def in_years(moment: Column, years: Sequence[int]) -> Column:
+    """Whether ``moment`` lies in one of the years, as ranges that reach the scan."""
+    ranges = [
+        (moment >= F.expr(f"TIMESTAMP_NTZ '{y:04d}-01-01'"))
+        & (moment < F.expr(f"TIMESTAMP_NTZ '{y + 1:04d}-01-01'"))
+        for y in years
+    ]
+    return reduce(or_, ranges)
 
 
 def active_years(t: Tables) -> DataFrame:
     """The years of the timeline, ascending."""
-    return _months(t).select("year").distinct().orderBy(F.col("year").asc_nulls_last())
+    items = t["order_items"].select("order_id")
+    sold = delivered_orders(t["orders"]).join(items, "order_id", "left_semi")
+    years = sold.select(F.year(PURCHASED).cast("long").alias("year")).distinct()
+    return years.orderBy(F.col("year").asc_nulls_last())
 
 
 def by_state(t: Tables, n: int | None = None) -> DataFrame:
@@ -192,8 +204,8 @@ def seller_table(t: Tables, n: int = 8) -> DataFrame:
 def top_categories(t: Tables, n: int = 15) -> DataFrame:
     """The ``n`` categories in most delivered orders, by translated name.
 
-    Lines are reduced to (order, category) before the order join, which makes the distinct
-    order count a plain count.
+    Delivered lines are reduced to (order, product) before the product join and to
+    (order, category) after it, which makes the distinct order count a plain count.
     """
     names = t["product_category_translation"]
     label = F.coalesce(
@@ -205,16 +217,19 @@ def top_categories(t: Tables, n: int = 15) -> DataFrame:
         .join(names, "product_category_name", "left")
         .select("product_id", label.alias("category"))
     )
-    per_order = (
+    delivered = t["orders"].where(is_delivered()).select("order_id")
+    # Delivered lines only, and one row per product of an order, before the products are read.
+    per_product = (
         t["order_items"]
         .select("order_id", "product_id", "price")
-        .join(labels, "product_id")
-        .groupBy("order_id", "category")
+        .join(delivered, "order_id", "left_semi")
+        .groupBy("order_id", "product_id")
         .agg(F.sum("price").alias("revenue"))
     )
-    delivered = t["orders"].where(is_delivered()).select("order_id")
     return (
-        per_order.join(delivered, "order_id")
+        per_product.join(labels, "product_id")
+        .groupBy("order_id", "category")
+        .agg(F.sum("revenue").alias("revenue"))
         .groupBy("category")
         .agg(
             F.count(F.lit(1)).alias("order_count"),
@@ -239,8 +254,9 @@ def kpis(
         _months(t, years)
         .agg(
             F.struct(
-                F.sum("revenue").cast(MONEY_TOTAL).alias("revenue"),
-                F.sum("item_line_count").alias("item_line_count"),
+                # No month in the chosen years is a total of 0.
+                F.coalesce(F.sum("revenue"), F.lit(0)).cast(MONEY_TOTAL).alias("revenue"),
+                F.coalesce(F.sum("item_line_count"), F.lit(0)).alias("item_line_count"),
             )
         )
         .scalar()

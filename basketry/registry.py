@@ -21,12 +21,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 HIGH_VALUE = 150000
 YEARS = [1996, 1998]
 PAYMENT_KIND = "1-URGENT"
+# A sample smaller than the table, and years without a single order.
+SAMPLE, NO_YEARS = 25, [1900]
 
 
 def _segmented(t: Tables) -> DataFrame:
     return segments.rfm_segment(features.customer_features(t), value=HIGH_VALUE)
 
 
+def _base(t: Tables) -> DataFrame:
+    """Reports on recency, orders and value need no more than this part of the feature view."""
+    return segments.rfm_segment(features.rfm_base(t), value=HIGH_VALUE)
+
+
+def _published(t: Tables) -> DataFrame:
+    features.register_feature_view(t)
+    return t["orders"].sparkSession.table(features.VIEW_NAME)
+
+
 _ON_CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "basic_features": features.basic_features,
     "basic_features_preview": features.basic_features_preview,
@@ -37,6 +49,7 @@ _ON_CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "satisfaction": features.satisfaction,
     "diversity": features.diversity,
     "customer_features": features.customer_features,
+    "customer_features_published": _published,
     "monthly_timeline": reports.monthly_timeline,
     "monthly_timeline_years": lambda t: reports.monthly_timeline(t, YEARS),
     "active_years": reports.active_years,
@@ -51,14 +64,16 @@ _ON_CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "top_categories": reports.top_categories,
     "top_categories_shown": lambda t: reports.top_categories(t, 12),
     "rfm_segment": _segmented,
-    "segment_actions": lambda t: segments.segment_actions(_segmented(t)),
+    "segment_actions": lambda t: segments.segment_actions(_base(t)),
     "churn_flag": lambda t: segments.churn_flag(features.customer_features(t)),
-    "churn_rate": lambda t: segments.churn_rate(features.customer_features(t)),
-    "top_customers": lambda t: segments.top_customers(_segmented(t)),
-    "rfm_sample": lambda t: segments.rfm_sample(_segmented(t)),
-    "kpis": lambda t: reports.kpis(t, features.customer_features(t)),
-    "kpis_years": lambda t: reports.kpis(t, features.customer_features(t), YEARS, 360),
-    "kpi_labels": lambda t: reports.kpi_labels(reports.kpis(t, features.customer_features(t))),
+    "churn_rate": lambda t: segments.churn_rate(features.rfm_base(t)),
+    "top_customers": lambda t: segments.top_customers(_base(t)),
+    "rfm_sample": lambda t: segments.rfm_sample(_base(t)),
+    "rfm_sample_small": lambda t: segments.rfm_sample(_base(t), n=SAMPLE),
+    "kpis": lambda t: reports.kpis(t, features.rfm_base(t)),
+    "kpis_years": lambda t: reports.kpis(t, features.rfm_base(t), YEARS, 360),
+    "kpis_no_month": lambda t: reports.kpis(t, features.rfm_base(t), NO_YEARS),
+    "kpi_labels": lambda t: reports.kpi_labels(reports.kpis(t, features.rfm_base(t))),
 }
 
 _ON_RAW: dict[str, Callable[[Tables], DataFrame]] = {
@@ -114,6 +129,9 @@ def oracle_sql() -> dict[str, str]:
         not_null=NOT_NULL,
         high_value=HIGH_VALUE,
         years=YEARS,
+        no_years=NO_YEARS,
+        sample=SAMPLE,
+        view_columns=features.VIEW_COLUMNS,
         payment_kind=PAYMENT_KIND,
         unknown=UNKNOWN_CATEGORY,
         actions=segments.SEGMENT_ACTIONS,

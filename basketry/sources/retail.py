@@ -25,8 +25,8 @@ def retail_tables(spark: SparkSession, directory: str) -> Tables:
     c = F.col
     nation = source("nation")
     lines = source("lineitem")
-    customers = source("customer").join(nation, c("c_nationkey") == c("n_nationkey"))
-    sellers = source("supplier").join(nation, c("s_nationkey") == c("n_nationkey"))
+    customers = source("customer").join(nation, c("c_nationkey") == c("n_nationkey"), "left")
+    sellers = source("supplier").join(nation, c("s_nationkey") == c("n_nationkey"), "left")
     orders = source("orders")
     score = F.lit(1) + c("l_quantity").cast("int") % 5
     status = (
@@ -66,18 +66,18 @@ def retail_tables(spark: SparkSession, directory: str) -> Tables:
             price=c("l_extendedprice").cast(MONEY),
             freight_value=c("l_quantity").cast(MONEY),
         ),
-        # A few orders have no payment.
+        # A few payments have lost their order, so a few orders have no payment.
         "order_payments": _shape(
-            orders.where(c("o_orderkey") % 1000 != 7),
+            orders,
             "order_payments",
-            order_id=c("o_orderkey"),
+            order_id=F.when(c("o_orderkey") % 1000 != 7, c("o_orderkey")),
             payment_sequential=F.lit(1),
             payment_type=c("o_orderpriority"),
             payment_installments=F.lit(1),
             payment_value=c("o_totalprice").cast(MONEY),
         ),
         "order_reviews": _shape(
-            lines.where(c("l_linenumber") <= 2),
+            lines,
             "order_reviews",
             review_id=F.concat_ws("-", "l_orderkey", "l_linenumber"),
             order_id=c("l_orderkey"),
