@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from basketry import registry
 from basketry.operators.orders import with_person
 from basketry.plans import features, quality, reports, segments
 from basketry.sources.files import load_tables, write_tables
@@ -34,9 +34,9 @@ def no_broadcast(spark):
     spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_python_and_no_cross_product(spark, name):
-    text = plan(contract.queries()[name](spark, "/root/testdata/sf0.001"))
+    text = plan(registry.queries()[name](spark, "/root/testdata/sf0.001"))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in text
 
