@@ -180,7 +180,7 @@ def test_kpis(t):
     }
     # Years narrow the timeline figures only.
     narrowed = reports.kpis(t, view, years=[2016], days=20).collect()[0]
-    assert (narrowed.revenue, narrowed.customer_count) == (None, 3)
+    assert (narrowed.revenue, narrowed.customer_count) == (Decimal("0.00"), 3)
     labels = reports.kpi_labels(reports.kpis(t, view, days=20)).collect()[0]
     assert tuple(labels) == ("R$0.00M", "3", "8", "33.3%", "2.75")
 
