@@ -1,37 +1,61 @@
-"""Order-to-order changes per person, split by day.
+"""Order-to-order changes per person, split by slots of time.
 
 A window over one person would put every order of that person into one task. Here the
-window runs over (person, day) and only one row per day is looked at across days, so a
-person with a third of all orders is spread over as many tasks as there are days, and the
-second step sees at most one row per person and calendar day.
+window runs over (person, slot) and only one row per slot is looked at across slots. A
+slot is an hour; orders exactly on the hour (date-only times are midnight) and orders
+without a time are split once more by the start of their id. So neither a person with a
+third of all orders, nor one with most orders on one date or without any time, is left to
+one task, as long as the ids do not all start with the same ``PREFIX`` characters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Characters of an id that split rows of the same instant: 4096 slots of hexadecimal ids,
+# 900 of decimal ones.
+PREFIX = 3
+SLOT = ("_hour", "_later", "_prefix")
+
+
+def slot_columns(moment: str, tie: str) -> dict[str, Column]:
+    """The columns of a slot; slots follow each other in (``moment``, ``tie``) order.
+
+    ``tie`` is a text column.
+    """
+    hour = F.date_trunc("hour", F.col(moment))
+    later = F.coalesce(F.col(moment) > hour, F.lit(False))
+    prefix = F.when(~later, F.substring(F.col(tie), 1, PREFIX))
+    return dict(zip(SLOT, (hour, later, prefix)))
+
+
+def slot_order() -> list[Column]:
+    """Slots in time order, those without a time last."""
+    hour, later, prefix = map(F.col, SLOT)
+    return [hour.asc_nulls_last(), later, prefix.asc_nulls_last()]
+
 
 def with_previous(df: DataFrame, person: str, moment: str, tie: str, value: str, name: str) -> DataFrame:
     """Add ``name``: ``value`` of the person's preceding row by (``moment``, ``tie``)."""
     by_time = [F.col(moment).asc_nulls_last(), F.col(tie).asc_nulls_last()]
-    inside_day = Window.partitionBy(person, "_day").orderBy(*by_time)
-    whole_day = inside_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_in_day = F.col("_position") == 1
-    # First rows of a day form one short run per person; the others keep their day as key.
-    across_days = Window.partitionBy(
-        person, first_in_day, F.when(~first_in_day, F.col("_day"))
-    ).orderBy(F.col("_day").asc_nulls_last(), F.col("_position"))
+    inside_slot = Window.partitionBy(person, *SLOT).orderBy(*by_time)
+    whole_slot = inside_slot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    opens = F.col("_position") == 1
+    # First rows of a slot form one short run per person; the others keep their slot as key.
+    across_slots = Window.partitionBy(
+        person, opens, *[F.when(~opens, F.col(column)) for column in SLOT]
+    ).orderBy(*slot_order(), F.col("_position"))
     return (
-        df.withColumn("_day", F.col(moment).cast("date"))
+        df.withColumns(slot_columns(moment, tie))
         .withColumns(
             {
-                "_position": F.row_number().over(inside_day),
-                "_inside": F.lag(value).over(inside_day),
-                "_closing": F.last(value).over(whole_day),
+                "_position": F.row_number().over(inside_slot),
+                "_inside": F.lag(value).over(inside_slot),
+                "_closing": F.last(value).over(whole_slot),
             }
         )
-        .withColumn("_carried", F.lag("_closing").over(across_days))
-        .withColumn(name, F.when(first_in_day, F.col("_carried")).otherwise(F.col("_inside")))
-        .drop("_day", "_position", "_inside", "_closing", "_carried")
+        .withColumn("_carried", F.lag("_closing").over(across_slots))
+        .withColumn(name, F.when(opens, F.col("_carried")).otherwise(F.col("_inside")))
+        .drop(*SLOT, "_position", "_inside", "_closing", "_carried")
     )

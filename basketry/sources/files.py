@@ -50,8 +50,17 @@ def write_tables(tables: Tables, directory: str) -> None:
 
 
 def import_csv(spark: SparkSession, paths: dict[str, str], directory: str) -> Tables:
-    """Load CSV files into ``directory``, checking every field, and return the stored tables."""
-    write_tables(read_csv_tables(spark, paths), directory)
+    """Load CSV files into ``directory``, checking every field, and return the stored tables.
+
+    A path may be a file or a folder of files. Free text is parsed by one task per file, so
+    a large reviews table should come as a folder of many; its rows are spread evenly
+    before they are stored.
+    """
+    tables = {
+        name: df.hint("rebalance") if name in FREE_TEXT_TABLES else df
+        for name, df in read_csv_tables(spark, paths).items()
+    }
+    write_tables(tables, directory)
     return load_tables(spark, directory, paths)
 
 
