@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from basketry.llm.shared import new_folder, stored
 
 MIN_REVISIT = 100
+#: Date of the records where a caller names none: fixed, so that a repeated task writes the same.
+DATE = "2000-01-01T00:00:00Z"
 #: Bytes of records after which a writer begins another archive, and of one range read.
 ARCHIVE, RANGE = 64 << 20, 4 << 20
 #: Rows of pages that one task writes, about.
@@ -167,7 +169,9 @@ def _wide(extra: bytes, values: list[int]) -> list[int]:
     return [packed, size, start]
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(
+    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE
+) -> bytes:
     """One WARC record; a revisit has the digest and length of its payload, but not its bytes."""
     kind = "response" if refers_to is None else "revisit"
     # One line per field, so a line break in an url must not start another.
@@ -175,6 +179,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     fields = {
         "WARC-Type": kind,
         "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
+        "WARC-Date": date,
         "WARC-Target-URI": target,
         "WARC-Payload-Digest": f"sha256:{digest}",
         "WARC-Payload-Length": str(len(payload)),
@@ -223,8 +228,10 @@ def marked(pages: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, folder: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Archives of all ``pages``; a stored table of (archive, records)."""
+def write(
+    pages: DataFrame, folder: str | None = None, rows_per_task: int = ROWS_PER_TASK, date: str = DATE
+) -> DataFrame:
+    """Archives of all ``pages``, dated ``date``; a stored table of (archive, records)."""
     folder = folder or new_folder(pages.sparkSession, "archives")
     if "://" not in folder:
         folder = f"file://{folder}" if folder.startswith("/") else folder.replace("file:", "file://", 1)
@@ -248,7 +255,7 @@ def write(pages: DataFrame, folder: str | None = None, rows_per_task: int = ROWS
         for batch in batches:
             # Arrow columns keep null and large ids as they are.
             for r in batch.to_pylist():
-                raw = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"])
+                raw = record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"], date)
                 packed = gzip.compress(raw, 1, mtime=0)
                 records.append(packed)
                 index.append({"offset": at, "length": len(packed), "id": r["page_id"]})
