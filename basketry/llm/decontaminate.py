@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.shared import lower_ascii, only
+from basketry.llm.shared import bound, folded, lower_ascii, only, unfolded
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -178,27 +178,33 @@ def _contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
-    joined = _with_hits(_key(docs), hits(docs, benchmark, n))
+    joined = _with_hits(_key(folded(docs, "doc_id", "text")), hits(docs, benchmark, n))
     n_hit = F.coalesce(F.size("__hit"), F.lit(0))
     bad = F.when(n_hit > 0, _contaminated(n_hit, F.size(words(F.col("text"))))).otherwise(False)
-    return joined.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unfolded(joined.where(~bad), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` with every hit word, and the separators after it, cut out of ``text``."""
-    joined = _with_hits(_key(docs), hits(docs, benchmark, n))
+    joined = _with_hits(_key(folded(docs, "doc_id", "text")), hits(docs, benchmark, n))
     lead = F.regexp_extract("text", f"^({SEPARATORS_ANY_CASE})", 1)
     after_word = f"(?<=[^{SEPARATORS_ANY_CASE[1:-2]}])({SEPARATORS_ANY_CASE})"
-    split = joined.withColumns(
-        {
-            "__words": F.array_remove(F.split("text", SEPARATORS_ANY_CASE, -1), ""),
-            "__gaps": F.regexp_extract_all("text", F.lit(after_word), F.lit(1)),
-        }
-    ).withColumn("__all", F.sequence(F.lit(0), F.size("__words") - 1))
-    kept = F.transform(
-        F.array_except("__all", "__hit"),
-        lambda i: F.concat(F.get("__words", i), F.coalesce(F.get("__gaps", i), F.lit(""))),
+    # The text is split once and bound; a column would be split anew for every kept word.
+    parts = F.struct(
+        F.array_remove(F.split("text", SEPARATORS_ANY_CASE, -1), "").alias("words"),
+        F.regexp_extract_all("text", F.lit(after_word), F.lit(1)).alias("gaps"),
     )
-    cut = F.concat(lead, F.array_join(kept, ""))
+
+    def joined_again(p: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(p["words"]) - 1)
+        return F.array_join(
+            F.transform(
+                F.array_except(every, F.col("__hit")),
+                lambda i: F.concat(F.get(p["words"], i), F.coalesce(F.get(p["gaps"], i), F.lit(""))),
+            ),
+            "",
+        )
+
+    cut = F.concat(lead, bound(parts, joined_again))
     text = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(cut)
-    return split.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unfolded(joined.withColumn("text", text), docs.columns)

@@ -27,6 +27,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.shared import folded, unfolded
+
 # A run of name characters or digits is entered at its start only, or where the last match
 # ended: elsewhere in the run the same match would fail. This keeps long runs linear.
 BASE = {
@@ -334,7 +336,6 @@ def masked(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     text = F.aggregate(
         spans, start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text")))
     )
-    found = find(docs, weights)
-    return found.withColumn(
-        "text", F.when(F.size(spans) > 0, text).otherwise(F.col("text"))
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = find(folded(docs, "text"), weights)
+    masked_text = F.when(F.size(spans) > 0, text).otherwise(F.col("text"))
+    return unfolded(found.withColumn("text", masked_text), docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from basketry.llm.shared import stored
+from basketry.llm.shared import folded, stored, unfolded
 
 LIMIT, DELTA, PRICE = 0.05, 0.05, 10
 #: Cutoffs from lenient to strict. A rule rejects signals above its cutoff.
@@ -234,5 +234,6 @@ def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Measures twice, which costs less than shuffling the texts to join the verdicts.
     """
     cuts = cutoffs(measures(docs), labels)
-    rows = docs.withColumn("__m", _measured(F.col("text"))).withColumn("__stratum", F.col("lang"))
-    return _judged(rows, cuts).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = folded(docs, "text", "lang").withColumn("__m", _measured(F.col("text")))
+    judged = _judged(rows.withColumn("__stratum", F.col("lang")), cuts)
+    return unfolded(judged.where("__kept"), docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ SHARED_DIR = "spark.checkpoint.dir"
 #: holds a batch several times over.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+REST = "__rest"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -63,6 +65,25 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def folded(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct, so that none clashes with a new column."""
+    others = [c for c in df.columns if c not in needed]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias(REST)] if others else []
+    return df.select(*[F.col(f"`{c}`") for c in needed], *rest)
+
+
+def unfolded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that a table had before ``folded``, in their order."""
+    beside = set(df.columns)
+    inside = set(df.schema[REST].dataType.names) if REST in beside else set()
+    return df.select(*[F.col(REST).getField(c).alias(c) if c in inside else F.col(f"`{c}`") for c in columns])
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns; a missing one is an error, extra ones are left out."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

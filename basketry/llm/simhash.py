@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from basketry.llm.shared import stored
+from basketry.llm.shared import REST, folded, stored, unfolded
 from basketry.llm.stars import connected
 
 SEED, SHINGLE, BITS, SEGMENTS = 42, 3, 3, 2
@@ -188,13 +188,10 @@ def distinct_documents(
     least = rows.groupBy("fp").agg(F.min(rank).alias("first"))
     kept = roots.join(least, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = stored(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__k")), "kept")
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    keyed = folded(docs, "doc_id", "text").withColumn("__key", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__key"] == kept["__k"])
-    # Repeated rows are the only ties left, so no group of the window is large.
-    first = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(F.lit(1)))
-    return (
-        keyed.join(kept, same, "left_semi")
-        .withColumn("__first", first)
-        .where("__first = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    # Repeated rows are the only ties left; one that is run again picks the same.
+    tie = F.to_json(REST) if REST in keyed.columns else F.lit(1)
+    first = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(tie))
+    chosen = keyed.join(kept, same, "left_semi").withColumn("__first", first).where("__first = 1")
+    return unfolded(chosen, docs.columns)
