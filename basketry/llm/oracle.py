@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basketry.llm import decontaminate, quality_rules, warc_zip
+from basketry.llm import decontaminate, merkle, phrases, quality_rules, warc_zip
 
 WARC_ZIP = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -111,9 +111,109 @@ FROM m
 """
 
 
+def merkle_sql(source_levels: int = 6, root_levels: int = 4) -> str:
+    """Trees written out level by level: sources of up to FAN ** source_levels rows."""
+    fan = merkle.FAN
+
+    def encoded(value: str) -> str:
+        return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    head = " || ".join(encoded(c) for c in merkle.FIELDS[:-1])
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, leaf_table: str, depth: int) -> list[str]:
+        """n levels of (t, r, d, kids): node digests and their children's, ``name``_0 being the leaves."""
+        made = [f"{name}_0 AS (SELECT t, r, d, [d] AS kids FROM {leaf_table})"]
+        for k in range(1, depth + 1):
+            made.append(
+                f"{name}_{k} AS (SELECT t, r // {fan} AS r, sha256(string_agg(d, '' ORDER BY r)) AS d, "
+                f"list(d ORDER BY r) AS kids FROM {name}_{k - 1} "
+                f"WHERE t IN (SELECT t FROM {name}_{k - 1} WHERE r > 0) GROUP BY t, r // {fan})"
+            )
+        any_level = " UNION ALL ".join(f"SELECT {k} AS k, t, d FROM {name}_{k} WHERE r = 0" for k in range(depth + 1))
+        made.append(f"{name}_top AS (SELECT t, arg_max(d, k) AS d FROM ({any_level}) GROUP BY t)")
+        return made
+
+    def joins(name: str, depth: int, on: str, rank: str) -> str:
+        return "".join(
+            f" LEFT JOIN {name}_{k} AS {name}{k} ON {name}{k}.t = {on} AND {name}{k}.r = {rank} // {fan**k}"
+            for k in range(1, depth + 1)
+        )
+
+    def steps(name: str, depth: int, rank: str) -> list[tuple[str, str]]:
+        """What stands before and after the node on the way up, from its parent's children."""
+        out = []
+        for k in range(depth):
+            at = f"CAST({rank} // {fan**k} % {fan} AS INTEGER)"
+            kids = f"{name}{k + 1}.kids"
+            out.append(
+                (f"coalesce(array_to_string({kids}[1 : {at}], ''), '')", f"coalesce(array_to_string({kids}[{at} + 2 :], ''), '')")
+            )
+        return out
+
+    path = steps("s", source_levels, "leaf.r") + steps("g", root_levels, "src.r")
+    parents = [f"s{k}.d" for k in range(1, source_levels + 1)] + [f"g{k}.d" for k in range(1, root_levels + 1)]
+    folds = []
+    for k, (before, after) in enumerate(path):
+        folds.append(
+            f"f{k + 1} AS (SELECT *, CASE WHEN has[{k + 1}] THEN sha256(before[{k + 1}] || f{k} || after[{k + 1}]) ELSE f{k} END "
+            f"AS f{k + 1} FROM f{k})"
+        )
+    return f"""
+WITH base AS (SELECT doc_id, coalesce('s' || source, '') AS source, sha256({head} || {encoded("text")}) AS leaf,
+       sha256({head} || {encoded(lowered)}) AS lowered,
+       coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT,
+         list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+         lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+           lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END))) % {merkle.TAMPERED_EVERY} = 0, false) AS hit
+       FROM documents),
+src AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS r FROM (SELECT DISTINCT source FROM base)),
+leaf AS (SELECT base.*, leaf AS d, src.r AS t,
+       row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM base JOIN src USING (source)),
+{", ".join(tree("s", "leaf", source_levels))},
+subs AS (SELECT 0 AS t, t AS r, d FROM s_top),
+{", ".join(tree("g", "subs", root_levels))},
+f0 AS (SELECT leaf.doc_id, leaf.leaf, s_top.d AS subroot, CASE WHEN hit THEN lowered ELSE leaf END AS f0,
+       [{", ".join(a for a, _ in path)}] AS before, [{", ".join(b for _, b in path)}] AS after,
+       [{", ".join(f"{d} IS NOT NULL" for d in parents)}] AS has
+       FROM leaf JOIN src USING (source) JOIN s_top ON s_top.t = leaf.t
+       {joins("s", source_levels, "leaf.t", "leaf.r")}{joins("g", root_levels, "0", "src.r")}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, g_top.d AS root,
+       sha256(array_to_string(list_transform(range(1, {len(path) + 1}), lambda k: before[k] || after[k]), '')) AS proof_sha256,
+       f{len(path)} AS folded_root, f{len(path)} = g_top.d AS verified
+FROM f{len(path)}, g_top
+"""
+
+
+PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id,
+       regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+c AS (SELECT lang, m, phrase, count(*) AS f FROM
+       (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda s: array_to_string(w[s : s + m - 1], ' '))) AS phrase
+        FROM p, (VALUES (1), (2), (3)) AS sizes(m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE m = 1 GROUP BY lang),
+a AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE m > 1 AND f >= {phrases.LEAST}),
+k AS (SELECT a.*, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS rest
+      FROM a, (VALUES (1), (2)) AS cuts(k) WHERE k < m),
+s AS (SELECT k.*, x.f AS l, y.f AS r, CAST({phrases.SCALE}::HUGEINT * k.a * k.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM k JOIN c AS x ON x.lang = k.lang AND x.phrase = head JOIN c AS y ON y.lang = k.lang AND y.phrase = rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[o : o + 1], ' ') AS phrase, max(a) AS longer
+      FROM a, (VALUES (1), (2)) AS ends(o) WHERE m = 3 GROUP BY ALL),
+g AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+      WHERE longer IS NULL OR 100 * longer < {phrases.COVERED} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM g JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}
+"""
+
+
 STATEMENTS: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op2_warc_zip": WARC_ZIP,
     "op7_chat": CHAT,
     "op8_decontaminate": DECONTAMINATE,
+    "op12_merkle": merkle_sql(),
+    "op13_phrases": PHRASES,
 }

@@ -11,8 +11,11 @@ from basketry.llm import (
     compression_quality,
     decontaminate,
     language_id,
+    licenses,
+    merkle,
     oracle,
     packing,
+    phrases,
     pii,
     quality_rules,
     simhash,
@@ -67,6 +70,18 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.report(docs, labels)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_zip": op2_warc_zip,
@@ -78,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
     "op10_compression_quality": op10_compression_quality,
+    "op11_licenses": op11_licenses,
+    "op12_merkle": op12_merkle,
+    "op13_phrases": op13_phrases,
 }
 
 #: The others have no SQL form; their tests compare them with brute force or held-out labels.

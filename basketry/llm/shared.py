@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
@@ -87,3 +87,40 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns; a missing one is an error, extra ones are left out."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def ranked(df: DataFrame, group: str, *order: Column, name: str = "ranked") -> DataFrame:
+    """``df`` with ``rank``, the row's place from 0 among the rows of its ``group``, and their number ``n``.
+
+    No task needs a whole group: rows are sorted over ranges and stored with their place, and a
+    place becomes a rank by the number of the group's rows in earlier ranges. Ties are broken by the row's place in the input, so equal rows spread over ranges too.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group).asc_nulls_first(), *order, F.col("_at")]
+    placed = (
+        df.withColumn("_at", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *keys)
+        .sortWithinPartitions(*keys)
+        .drop("_at")
+        .withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    )
+    placed = stored(placed, name)
+    every = Window.partitionBy("_group")
+    earlier = every.orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each group and range that has rows of it.
+    shifts = (
+        placed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_in"))
+        .agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+        .withColumns(
+            {
+                "n": F.sum("_rows").over(every),
+                "_shift": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"),
+            }
+        )
+    )
+    joined = placed.join(shifts, same(group, "_group") & (F.col("_range") == F.col("_in")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_place") + F.col("_shift")).alias("rank"), "n")
