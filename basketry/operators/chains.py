@@ -1,11 +1,10 @@
-"""Order-to-order changes per person, split by slots of time.
-
-A window over one person would put every order of that person into one task. Here the
-window runs over (person, slot) and only one row per slot is looked at across slots. A
-slot is an hour; orders exactly on the hour (date-only times are midnight) and orders
-without a time are split once more by the start of their id. So neither a person with a
-third of all orders, nor one with most orders on one date or without any time, is left to
-one task, as long as the ids do not all start with the same ``PREFIX`` characters.
+"""Order-to-order changes per person, over sorted ranges with carried edges.
+
+A window over one person would put every order of that person into one task. Here rows are
+dealt into ranges of (person, time, id), so a person with a third of all orders, all of them on one
+date and with ids that start alike, still spreads over a third of the ranges. LAG runs inside a range;
+the one row it cannot see is the last of the person's preceding range, which is carried over:
+only the first row of a person in a range looks for it, and a person has one such row a range.
 """
 
 from __future__ import annotations
@@ -13,49 +12,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Characters of an id that split rows of the same instant: 4096 slots of hexadecimal ids,
-# 900 of decimal ones.
-PREFIX = 3
-SLOT = ("_hour", "_later", "_prefix")
-
+# Ranges for each shuffle partition. They are dealt to tasks by hash, so several small ones even out.
+RANGES_PER_TASK = 4
+RANGE = "_range"
 
-def slot_columns(moment: str, tie: str) -> dict[str, Column]:
-    """The columns of a slot; slots follow each other in (``moment``, ``tie``) order.
 
-    ``tie`` is a text column.
-    """
-    hour = F.date_trunc("hour", F.col(moment))
-    later = F.coalesce(F.col(moment) > hour, F.lit(False))
-    prefix = F.when(~later, F.substring(F.col(tie), 1, PREFIX))
-    return dict(zip(SLOT, (hour, later, prefix)))
+def time_order(moment: str, tie: str) -> list[Column]:
+    """Rows of a person in time order, those without a time last."""
+    return [F.col(moment).asc_nulls_last(), F.col(tie).asc_nulls_last()]
 
 
-def slot_order() -> list[Column]:
-    """Slots in time order, those without a time last."""
-    hour, later, prefix = map(F.col, SLOT)
-    return [hour.asc_nulls_last(), later, prefix.asc_nulls_last()]
+def in_ranges(df: DataFrame, person: str, moment: str, tie: str) -> DataFrame:
+    """``df`` with the number of its range; ranges follow each other in (person, time, id) order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_TASK
+    ranges = df.repartitionByRange(parts, F.col(person).asc_nulls_first(), *time_order(moment, tie))
+    return ranges.withColumn(RANGE, F.spark_partition_id())
 
 
 def with_previous(df: DataFrame, person: str, moment: str, tie: str, value: str, name: str) -> DataFrame:
     """Add ``name``: ``value`` of the person's preceding row by (``moment``, ``tie``)."""
-    by_time = [F.col(moment).asc_nulls_last(), F.col(tie).asc_nulls_last()]
-    inside_slot = Window.partitionBy(person, *SLOT).orderBy(*by_time)
-    whole_slot = inside_slot.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = Window.partitionBy(person, RANGE).orderBy(*time_order(moment, tie))
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     opens = F.col("_position") == 1
-    # First rows of a slot form one short run per person; the others keep their slot as key.
-    across_slots = Window.partitionBy(
-        person, opens, *[F.when(~opens, F.col(column)) for column in SLOT]
-    ).orderBy(*slot_order(), F.col("_position"))
+    # The first rows of a person form one short run; every other row stays with its range.
+    across = Window.partitionBy(person, opens, F.when(~opens, F.col(RANGE))).orderBy(RANGE, "_position")
     return (
-        df.withColumns(slot_columns(moment, tie))
+        in_ranges(df, person, moment, tie)
         .withColumns(
             {
-                "_position": F.row_number().over(inside_slot),
-                "_inside": F.lag(value).over(inside_slot),
-                "_closing": F.last(value).over(whole_slot),
+                "_position": F.row_number().over(inside),
+                "_inside": F.lag(value).over(inside),
+                "_closing": F.last(value).over(whole),
             }
         )
-        .withColumn("_carried", F.lag("_closing").over(across_slots))
+        .withColumn("_carried", F.lag("_closing").over(across))
         .withColumn(name, F.when(opens, F.col("_carried")).otherwise(F.col("_inside")))
-        .drop(*SLOT, "_position", "_inside", "_closing", "_carried")
+        .drop(RANGE, "_position", "_inside", "_closing", "_carried")
     )

@@ -31,18 +31,16 @@ def order_values(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id").agg(*_value_measures())
 
 
-def order_contents(items: DataFrame, products: DataFrame) -> DataFrame:
-    """``order_values`` and the order's distinct categories.
+def order_contents(items: DataFrame, masks: DataFrame, lanes: list[str]) -> DataFrame:
+    """``order_values`` and the order's categories as bits.
 
-    Category names come from a dictionary (the products refer to the translation table),
-    so the set of one order stays small however many lines the order has. Products are
+    ``masks`` has the category bit of each product (see ``operators.dictionary``). Products are
     joined without a forced broadcast; a hot product is split by AQE.
     """
-    category = products.select("product_id", "product_category_name")
     return (
-        items.join(category, "product_id", "left")
+        items.join(masks, "product_id", "left")
         .groupBy("order_id")
-        .agg(*_value_measures(), F.collect_set("product_category_name").alias("categories"))
+        .agg(*_value_measures(), *[F.bit_or(lane).alias(lane) for lane in lanes])
     )
 
 

@@ -2,53 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS_PER_E_FOLD = 500
-
-
-def value_band(value: Column) -> Column:
-    """A coarse, monotone number for a decimal: about 0.2 % of the value per band.
-
-    A 38-digit decimal has at most 2 * 500 * 88 bands, whatever the data; NULL has none.
-    """
-    size = value.cast("double")
-    return F.floor(F.signum(size) * F.log1p(F.abs(size)) * F.lit(BANDS_PER_E_FOLD))
+RANGE = "_range"
 
 
 def with_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add ``name``: RANK by ``value`` descending, NULLs last.
 
-    Rows are first reduced to distinct values with counts, so many equal values cost one
-    row. A band's offset is the number of rows in higher bands; inside a band the counts
-    of higher values are added. The two running sums see distinct bands (bounded, see
-    ``value_band``) and the distinct values of one band.
+    Rows are first reduced to distinct values with counts, so many equal values cost one row.
+    Spark's sampled splitters deal the distinct values into ranges of about equal size, wherever
+    the values lie, and counts are summed inside each range. The first value of a range carries the
+    range's total into one running sum over ranges, a row for each shuffle partition; its
+    result is handed back to the range's other values. Everything comes from one evaluation of
+    the ranges, so it does not matter that splitters are sampled.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    falling = F.col("_value").desc_nulls_last()
     counts = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.withColumn("_band", value_band(F.col("_value")))
+    inside = Window.partitionBy(RANGE).orderBy(falling)
+    whole = Window.partitionBy(RANGE)
+    first = F.col("_position") == 1
+    across = Window.partitionBy(first, F.when(~first, F.col(RANGE))).orderBy(RANGE, "_position")
     above = (Window.unboundedPreceding, -1)
-    offsets = (
-        counts.groupBy("_band")
-        .agg(F.sum("_rows").alias("_band_rows"))
-        .select(
-            F.col("_band").alias("_offset_band"),
-            F.sum("_band_rows")
-            .over(Window.orderBy(F.col("_band").desc_nulls_last()).rowsBetween(*above))
-            .alias("_offset"),
-        )
-    )
-    inside_band = Window.partitionBy("_band").orderBy(F.col("_value").desc_nulls_last())
     ranks = (
-        counts.withColumn("_higher", F.sum("_rows").over(inside_band.rowsBetween(*above)))
-        .join(F.broadcast(offsets), F.col("_band").eqNullSafe(F.col("_offset_band")))
+        counts.repartitionByRange(parts, falling)
+        .withColumn(RANGE, F.spark_partition_id())
+        .withColumns(
+            {
+                "_position": F.row_number().over(inside),
+                "_higher": F.coalesce(F.sum("_rows").over(inside.rowsBetween(*above)), F.lit(0)),
+                "_total": F.sum("_rows").over(whole),
+            }
+        )
+        # Only the first values sum the totals of all ranges before theirs.
+        .withColumn("_before", F.when(first, F.coalesce(F.sum("_total").over(across.rowsBetween(*above)), F.lit(0))))
         .select(
             "_value",
-            (
-                F.lit(1).cast("long")
-                + F.coalesce("_offset", F.lit(0))
-                + F.coalesce("_higher", F.lit(0))
-            ).alias(name),
+            (F.lit(1).cast("long") + F.max("_before").over(whole) + F.col("_higher")).alias(name),
         )
     )
     # One row per value on the right; AQE splits a value shared by very many rows.

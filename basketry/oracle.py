@@ -221,6 +221,7 @@ def statements(
     unknown: str,
     actions: Sequence[Sequence[object]],
     anomalies: Sequence[Sequence[object]],
+    customers: Sequence[str],
 ) -> dict[str, str]:
     chosen = ", ".join(map(str, years))
     in_years = f"SELECT * FROM months WHERE year IN ({chosen})"
@@ -253,6 +254,24 @@ def statements(
                    CAST(negative_review_pct AS DOUBLE) AS negative_review_pct FROM satisfied""",
         "diversity": "SELECT customer_unique_id, category_count FROM varied",
         "customer_features": "SELECT * FROM features",
+        "customer_features_first10": "SELECT * FROM features ORDER BY customer_unique_id LIMIT 10",
+        "order_ledger": """
+            SELECT o.order_id, order_status, COALESCE(line_count, 0) AS line_count,
+                   CAST(value AS DOUBLE) AS order_value, CAST(paid AS DOUBLE) AS paid_value,
+                   CAST(paid - value AS DOUBLE) AS difference, COALESCE(review_count, 0) AS review_count,
+                   mean_score
+            FROM raw_orders AS o
+            LEFT JOIN (SELECT order_id, COUNT(*) AS line_count, SUM(price + freight) AS value
+                       FROM raw_items GROUP BY order_id) USING (order_id)
+            LEFT JOIN (SELECT order_id, SUM(payment_value) AS paid FROM raw_payments GROUP BY order_id)
+            USING (order_id)
+            LEFT JOIN (SELECT order_id, COUNT(*) AS review_count,
+                              CAST(SUM(score) AS DOUBLE) / NULLIF(COUNT(score), 0) AS mean_score
+                       FROM raw_reviews GROUP BY order_id) USING (order_id)""",
+        "orders_lookup": f"""
+            SELECT order_id, customer_id, order_status, purchased AS order_purchase_timestamp
+            FROM raw_orders
+            WHERE order_status = 'delivered' AND customer_id IN ({", ".join(map(_text, customers))})""",
         "customer_features_published": f"SELECT {published} FROM features",
         "monthly_timeline": f"{timeline} FROM months",
         "monthly_timeline_years": f"{timeline} FROM ({in_years})",
@@ -422,6 +441,21 @@ def statements(
                   SELECT 5, COUNT(*) FROM raw_orders
                   WHERE order_id NOT IN (SELECT order_id FROM raw_payments WHERE order_id IS NOT NULL))
             USING (anomaly_id)""",
+        "imported_orders": """
+            SELECT order_id, customer_id, order_status, purchased AS order_purchase_timestamp,
+                   delivered_on AS order_delivered_customer_date
+            FROM raw_orders""",
+        "imported_lines": """
+            SELECT order_id, order_item_id, product_id, seller_id, CAST(price AS DOUBLE) AS price,
+                   CAST(freight AS DOUBLE) AS freight_value
+            FROM raw_items""",
+        "load_rejections": """
+            SELECT 'customers' AS "table", 'customer_unique_id' AS "column", 'NULL' AS problem,
+                   COUNT(*) AS row_count
+            FROM raw_customers WHERE CAST(customer_id AS BIGINT) % 7 = 0 HAVING COUNT(*) > 0
+            UNION ALL
+            SELECT 'orders', 'order_id', 'repeated key', 2 * COUNT(*)
+            FROM raw_orders WHERE CAST(order_id AS BIGINT) % 6 = 0 HAVING COUNT(*) > 0""",
         "clean_orders": """
             SELECT order_id, order_status,
                    CASE WHEN order_status IS DISTINCT FROM 'canceled' THEN delivered_on END

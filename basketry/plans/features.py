@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import days_between, is_delivered, percent, ratio
+from basketry.operators import dictionary
 from basketry.operators.chains import with_previous
 from basketry.operators.orders import (
     PERSON,
@@ -13,6 +14,7 @@ from basketry.operators.orders import (
     delivered_baskets,
     delivered_orders,
     order_contents,
+    order_values,
     reference_date,
     review_totals,
     spend_per_person,
@@ -80,12 +82,51 @@ def rfm_base(t: Tables) -> DataFrame:
 
 
 def basket_trend(t: Tables) -> DataFrame:
-    """Mean change between successive orders; NULL for a person with one order."""
-    unused = {name: F.lit(0) for name in ("valued_lines", *_REVIEW_MEASURES)}
-    baskets = _person_baskets(t).withColumns(
-        {"is_basket": F.lit(True), "categories": F.array().cast("array<string>"), **unused}
+    """Mean change between successive orders; NULL for a person with one order.
+
+    Changes between orders that all have a value add up to the last value less the first, which
+    needs no order of the rows at all. Only where a value can be NULL are changes formed one by one.
+    """
+    if _has_null_values(t["order_items"]):
+        return _trend_by_changes(_person_baskets(t))
+    per_customer_id = delivered_baskets(t).groupBy("customer_id").agg(*_ends(F.lit(True)), _BASKETS)
+    person = with_person(per_customer_id, t).groupBy(PERSON).agg(*_merged_ends(), *sums("order_count"))
+    return person.select(PERSON, _trend_by_ends().alias("basket_trend"))
+
+
+_BASKETS = F.count(F.lit(1)).alias("order_count")
+
+
+def _has_null_values(items: DataFrame) -> bool:
+    """Whether a line lacks a value: one small job, which skips stored row groups without NULLs."""
+    return not items.where(F.col("price").isNull() | F.col("freight_value").isNull()).isEmpty()
+
+
+def _trend_by_changes(baskets: DataFrame) -> DataFrame:
+    """The trend from every change; ``baskets`` has a row for each order of a person."""
+    chained = with_previous(baskets, PERSON, PURCHASED, "order_id", "order_value", "previous_value")
+    change = F.col("order_value") - F.col("previous_value")
+    return chained.groupBy(PERSON).agg(ratio(F.sum(change), F.count(change)).alias("basket_trend"))
+
+
+def _ends(is_basket: Column) -> list[Column]:
+    """The first and the last basket in time order, as structs that compare like it."""
+    place = F.struct(
+        F.col(PURCHASED).isNull().alias("untimed"),
+        F.col(PURCHASED).alias("at"),
+        F.col("order_id").alias("id"),
+        _total("order_value").alias("value"),
     )
-    return _per_person(_daily(baskets)).select(PERSON, _trend().alias("basket_trend"))
+    basket = F.when(is_basket, place)
+    return [F.min(basket).alias("first_basket"), F.max(basket).alias("last_basket")]
+
+
+def _merged_ends() -> list[Column]:
+    return [F.min("first_basket").alias("first_basket"), F.max("last_basket").alias("last_basket")]
+
+
+def _trend_by_ends() -> Column:
+    return ratio(F.col("last_basket.value") - F.col("first_basket.value"), F.col("order_count") - 1)
 
 
 def satisfaction(t: Tables) -> DataFrame:
@@ -114,10 +155,6 @@ def _negative() -> Column:
     return percent(F.col("negative_reviews"), F.col("reviews"))
 
 
-def _trend() -> Column:
-    return ratio(F.col("change_sum"), F.col("change_count"))
-
-
 def diversity(t: Tables) -> DataFrame:
     """Distinct categories per person over delivered lines whose product is known."""
     bought = t["order_items"].select("order_id", "product_id").distinct()
@@ -133,30 +170,86 @@ def diversity(t: Tables) -> DataFrame:
 def customer_features(t: Tables) -> DataFrame:
     """The feature view: one row per person with a delivered order that has items.
 
-    All four blocks come from one pass over the tables, reduced in three steps:
-    order -> (person, day) -> person. Stitching separately computed blocks would read
-    orders and customers four times and shuffle them twice as often.
+    All four blocks come from one pass over the tables, reduced in three steps: order ->
+    ``customer_id`` -> person. Every step is a sum, a minimum, a maximum or a union of bits, so
+    each is combined before its shuffle and no person's orders have to meet in one task.
+    Stitching separately computed blocks would read orders and customers four times.
+
+    Two small jobs look at the tables first: whether a line lacks a value (see ``basket_trend``) and
+    which categories there are. Like the list of files, what they find belongs to the tables
+    as they are when the frame is made.
     """
-    newest = reference_date(t["orders"]).scalar()
-    person = _per_person(_daily(_order_facts(t))).where("order_count > 0")
+    return view_of(
+        t,
+        reference_date(t["orders"]).scalar(),
+        dictionary.codes(t["products"], "product_category_name"),
+        _has_null_values(t["order_items"]),
+    )
+
+
+def view_of(t: Tables, newest: Column, coded: DataFrame | None, null_values: bool) -> DataFrame:
+    """The view with what ``customer_features`` finds out about the tables given."""
+    facts = _order_facts(t, coded)
+    lanes = dictionary.lanes_of(coded) if coded is not None else []
+    is_basket = F.col("is_basket")
+    basket_sums = ("order_value", "valued_lines")
+    per_customer_id = facts.groupBy("customer_id").agg(
+        F.count_if(is_basket).alias("order_count"),
+        F.max(F.when(is_basket, F.col(PURCHASED))).alias("last_purchase"),
+        *_ends(is_basket),
+        *[F.sum(F.when(is_basket, F.col(name))).alias(name) for name in basket_sums],
+        *[F.bit_or(F.when(is_basket, F.col(lane))).alias(lane) for lane in lanes],
+        *sums(*_REVIEW_MEASURES),
+    )
+    person = (
+        with_person(per_customer_id, t)
+        .groupBy(PERSON)
+        .agg(
+            F.max("last_purchase").alias("last_purchase"),
+            *_merged_ends(),
+            *sums("order_count", *basket_sums, *_REVIEW_MEASURES),
+            *dictionary.united(lanes),
+        )
+        .where("order_count > 0")
+    )
+    if null_values:
+        # Only persons with such an order need their changes one by one.
+        baskets = with_person(facts.where(is_basket), t).select(
+            PERSON, "order_id", PURCHASED, _total("order_value").alias("order_value")
+        )
+        touched = baskets.where(F.col("order_value").isNull()).select(F.col(PERSON).alias("_touched"))
+        baskets = baskets.join(touched, F.col(PERSON) == F.col("_touched"), "left_semi")
+        exact = _trend_by_changes(baskets).select(
+            F.col(PERSON).alias("_touched"), F.col("basket_trend").alias("_exact")
+        )
+        person = person.join(exact, F.col(PERSON) == F.col("_touched"), "left")
+        trend = F.when(F.col("_touched").isNull(), _trend_by_ends()).otherwise(F.col("_exact"))
+    else:
+        trend = _trend_by_ends()
+    if coded is None:
+        known = diversity(t).select(F.col(PERSON).alias("_varied"), F.col("category_count").alias("_categories"))
+        person = person.join(known, F.col(PERSON) == F.col("_varied"), "left")
+        categories = F.coalesce(F.col("_categories"), F.lit(0))
+    else:
+        categories = dictionary.size(lanes)
     zero = F.lit(0.0)
     return person.select(
         PERSON,
         "order_count",
         days_between(F.col("last_purchase"), newest).alias("recency_days"),
-        _total("total_value").alias("total_value"),
-        ratio(F.col("total_value"), F.col("valued_lines")).alias("avg_item_value"),
-        F.coalesce(_trend(), zero).alias("basket_trend"),
+        _total("order_value").alias("total_value"),
+        ratio(F.col("order_value"), F.col("valued_lines")).alias("avg_item_value"),
+        F.coalesce(trend, zero).alias("basket_trend"),
         F.coalesce(_mean_score(), zero).alias("avg_review_score"),
         F.coalesce(_negative(), zero).alias("negative_review_pct"),
-        "category_count",
+        categories.alias("category_count"),
     )
 
 
 _REVIEW_MEASURES = ("reviews", "scored_reviews", "score_sum", "negative_reviews")
 
 
-def _order_facts(t: Tables) -> DataFrame:
+def _order_facts(t: Tables, coded: DataFrame | None) -> DataFrame:
     """One row per order that is a basket, has a review, or both.
 
     A basket is a delivered order with items; other orders matter only for their reviews.
@@ -164,79 +257,22 @@ def _order_facts(t: Tables) -> DataFrame:
     orders = t["orders"].select(
         "order_id", "customer_id", PURCHASED, is_delivered().alias("delivered")
     )
-    facts = orders.join(
-        order_contents(t["order_items"], t["products"]), "order_id", "left"
-    ).join(review_totals(t["order_reviews"]), "order_id", "left")
+    if coded is None:
+        contents = order_values(t["order_items"])
+    else:
+        masks = (
+            t["products"]
+            .select("product_id", "product_category_name")
+            .join(F.broadcast(coded), "product_category_name")  # bounded, see ``codes``
+            .drop("product_category_name")
+        )
+        contents = order_contents(t["order_items"], masks, dictionary.lanes_of(coded))
+    facts = orders.join(contents, "order_id", "left")
+    facts = facts.join(review_totals(t["order_reviews"]), "order_id", "left")
     basket = F.coalesce(F.col("delivered") & F.col("lines").isNotNull(), F.lit(False))
-    facts = facts.withColumn("is_basket", basket).where(
+    return facts.withColumn("is_basket", basket).where(
         F.col("is_basket") | F.col("reviews").isNotNull()
     )
-    return with_person(facts, t)
-
-
-def _daily(facts: DataFrame) -> DataFrame:
-    """One row per person and day (category NULL), and one per category bought that day.
-
-    The day's run of baskets keeps its first and last value and the changes inside the
-    day, which is all that is needed to join it to the neighbouring days. Working by
-    (person, day) spreads a person with very many orders over many tasks. Categories are
-    unfolded only after the rows are sorted, next to the aggregation that folds them again.
-    """
-    inside_day = Window.partitionBy(PERSON, "day").orderBy(
-        F.col("is_basket").desc(), F.col(PURCHASED).asc_nulls_last(), F.col("order_id")
-    )
-    basket = F.col("is_basket")
-    change = F.col("order_value") - F.lag("order_value").over(inside_day)
-    runs = facts.withColumn("day", F.col(PURCHASED).cast("date")).withColumns(
-        {
-            "opens": basket & (F.row_number().over(inside_day) == 1),
-            "closes": basket & ~F.lead(basket, 1, False).over(inside_day),
-            "change": F.when(basket, change),
-        }
-    )
-    order_row = F.array(F.lit(None).cast("string"))
-    unfolded = F.when(basket, F.concat(order_row, "categories")).otherwise(order_row)
-    rows = runs.withColumn("category", F.explode(unfolded))
-
-    is_order = F.col("category").isNull()
-    is_basket_row = basket & is_order
-
-    def of(condition: Column, name: str) -> Column:
-        return F.when(condition, F.col(name))
-
-    return rows.groupBy(PERSON, "day", "category").agg(
-        F.max(is_basket_row).alias("has_basket"),
-        F.max(of(F.col("opens") & is_order, "order_value")).alias("opening"),
-        F.max(of(F.col("closes") & is_order, "order_value")).alias("closing"),
-        F.sum(of(is_order, "change")).alias("change_sum"),
-        F.count(of(is_order, "change")).alias("change_count"),
-        F.count_if(is_basket_row).alias("order_count"),
-        F.max(of(is_basket_row, PURCHASED)).alias("last_purchase"),
-        F.sum(of(is_basket_row, "order_value")).alias("total_value"),
-        F.sum(of(is_basket_row, "valued_lines")).alias("valued_lines"),
-        *[F.sum(of(is_order, name)).alias(name) for name in _REVIEW_MEASURES],
-    )
-
-
-def _per_person(daily: DataFrame) -> DataFrame:
-    """Join the days of each person: at most one row per calendar day and category."""
-    run = Window.partitionBy(PERSON).orderBy(
-        F.col("has_basket").desc(), F.col("day").asc_nulls_last()
-    )
-    jump = F.when(F.col("has_basket"), F.col("opening") - F.lag("closing").over(run))
-    return (
-        daily.withColumn("jump", jump)
-        .groupBy(PERSON)
-        .agg(
-            (F.coalesce(F.sum("change_sum"), F.lit(0)) + F.coalesce(F.sum("jump"), F.lit(0))).alias(
-                "change_sum"
-            ),
-            (F.sum("change_count") + F.count("jump")).alias("change_count"),
-            F.max("last_purchase").alias("last_purchase"),
-            *sums("order_count", "total_value", "valued_lines", *_REVIEW_MEASURES),
-            F.countDistinct("category").alias("category_count"),
-        )
-    )
 
 
 # View and column names existing SQL on the feature view uses.

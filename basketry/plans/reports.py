@@ -27,6 +27,7 @@ from basketry.operators.orders import (
     PURCHASED,
     delivered_baskets,
     delivered_orders,
+    order_values,
     review_totals,
     sums,
     with_person,
@@ -279,3 +280,28 @@ def kpi_labels(row: DataFrame) -> DataFrame:
         percent_text(F.col("churn_pct"), 1).alias("churn"),
         fixed(F.col("mean_score"), 2).alias("mean_score"),
     )
+
+
+def order_ledger(t: Tables) -> DataFrame:
+    """Every order with what its lines cost, what was paid, the difference, and its reviews.
+
+    Four tables meet by ``order_id`` only; on bucketed tables there is no exchange.
+    """
+    paid = t["order_payments"].groupBy("order_id").agg(F.sum("payment_value").alias("paid_value"))
+    return (
+        t["orders"]
+        .select("order_id", "order_status")
+        .join(order_values(t["order_items"]).select("order_id", "order_value", "lines"), "order_id", "left")
+        .join(paid, "order_id", "left")
+        .join(review_totals(t["order_reviews"]), "order_id", "left")
+        .select(
+            "order_id",
+            "order_status",
+            F.coalesce("lines", F.lit(0)).alias("line_count"),
+            F.col("order_value").cast(MONEY_TOTAL).alias("order_value"),
+            F.col("paid_value").cast(MONEY_TOTAL).alias("paid_value"),
+            (F.col("paid_value") - F.col("order_value")).cast(MONEY_TOTAL).alias("difference"),
+            F.coalesce("reviews", F.lit(0)).alias("review_count"),
+            ratio(F.col("score_sum"), F.col("scored_reviews")).alias("mean_score"),
+        )
+    )

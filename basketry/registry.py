@@ -10,8 +10,9 @@ from pyspark.sql.types import DecimalType
 
 from basketry import oracle
 from basketry.functions.columns import UNKNOWN_CATEGORY
-from basketry.plans import features, quality, reports, segments
-from basketry.schema import NOT_NULL, Tables
+from basketry.plans import features, preview, quality, reports, segments
+from basketry.schema import NOT_NULL, SCHEMAS, Tables
+from basketry.sources import files
 from basketry.sources.retail import retail_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 HIGH_VALUE = 150000
 YEARS = [1996, 1998]
 PAYMENT_KIND = "1-URGENT"
+BUCKETS = 8
+# Customers whose orders the layout is asked for.
+CUSTOMERS = ["1", "7", "8", "100", "101"]
 # A sample smaller than the table, and years without a single order.
 SAMPLE, NO_YEARS = 25, [1900]
 
@@ -39,6 +43,51 @@ def _published(t: Tables) -> DataFrame:
     return t["orders"].sparkSession.table(features.VIEW_NAME)
 
 
+def _bucketed(t: Tables) -> Tables:
+    """The tables after a trip through the bucketed layout."""
+    spark = t["orders"].sparkSession
+    folder = files.work_folder(spark, "buckets")
+    return files.write_order_buckets(t, folder, BUCKETS, f"shop_{folder.rpartition('-')[2]}")
+
+
+def _looked_up(t: Tables) -> DataFrame:
+    """Delivered orders of some customers, read through the layout by status and customer."""
+    spark = t["orders"].sparkSession
+    folder = files.work_folder(spark, "layout")
+    files.write_layout(t["orders"], folder, BUCKETS)
+    orders = spark.read.schema(SCHEMAS["orders"]).parquet(folder)
+    wanted = (F.col("order_status") == "delivered") & F.col("customer_id").isin(CUSTOMERS)
+    return orders.where(wanted).select("order_id", "customer_id", "order_status", "order_purchase_timestamp")
+
+
+def _imported(t: Tables) -> Tables:
+    """Orders, lines and reviews written as CSV, loaded through the gates, published and read back."""
+    spark = t["orders"].sparkSession
+    folder = files.work_folder(spark, "import")
+    paths = {}
+    for name in ("orders", "order_items", "order_reviews"):
+        paths[name] = f"{folder}/csv/{name}"
+        t[name].write.csv(paths[name], header=True, escape='"')
+    return files.import_csv(spark, paths, f"{folder}/tables")
+
+
+def _rejected(t: Tables) -> DataFrame:
+    """What the gates say of a load with persons missing and a sixth of the orders twice."""
+    spark = t["orders"].sparkSession
+    person = F.when(F.col("customer_id").cast("long") % 7 != 0, F.col("customer_unique_id"))
+    broken = {
+        "customers": t["customers"].withColumn("customer_unique_id", person),
+        "orders": t["orders"].unionAll(t["orders"].where(F.col("order_id").cast("long") % 6 == 0)),
+        "sellers": t["sellers"],
+    }
+    try:
+        files.write_tables(broken, files.work_folder(spark, "rejected"), enforce=True)
+        found = []
+    except files.LoadError as error:
+        found = [tuple(v) for v in error.violations]
+    return spark.createDataFrame(found, "table string, column string, problem string, row_count long")
+
+
 _ON_CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "basic_features": features.basic_features,
     "basic_features_preview": features.basic_features_preview,
@@ -50,6 +99,9 @@ _ON_CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "diversity": features.diversity,
     "customer_features": features.customer_features,
     "customer_features_published": _published,
+    "customer_features_first10": preview.customer_features_first,
+    "order_ledger": lambda t: reports.order_ledger(_bucketed(t)),
+    "orders_lookup": _looked_up,
     "monthly_timeline": reports.monthly_timeline,
     "monthly_timeline_years": lambda t: reports.monthly_timeline(t, YEARS),
     "active_years": reports.active_years,
@@ -91,6 +143,13 @@ _ON_RAW: dict[str, Callable[[Tables], DataFrame]] = {
         t["products"], t["product_category_translation"], "product_category_name"
     ),
     "anomaly_report": quality.anomaly_report,
+    "imported_orders": lambda t: _imported(t)["orders"].select(
+        "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date"
+    ),
+    "imported_lines": lambda t: _imported(t)["order_items"].select(
+        "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"
+    ),
+    "load_rejections": _rejected,
     "clean_orders": lambda t: quality.clean_orders(t["orders"]).select(
         "order_id", "order_status", "order_delivered_customer_date"
     ),
@@ -136,4 +195,5 @@ def oracle_sql() -> dict[str, str]:
         unknown=UNKNOWN_CATEGORY,
         actions=segments.SEGMENT_ACTIONS,
         anomalies=quality.ANOMALIES,
+        customers=CUSTOMERS,
     )

@@ -8,7 +8,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.plans import features, quality
+from basketry.operators import dictionary
+from basketry.plans import features, preview, quality
 from fixtures import by_key, customer, item, order, product, review, shop, tables
 
 ANA, BOB, DAN = "ana", "bob", "dan"
@@ -225,3 +226,64 @@ def test_empty_tables_give_no_rows(spark):
     t = tables(spark)
     for plan in (features.customer_features, features.basket_changes, features.customer_rank):
         assert plan(t).collect() == []
+
+
+def _valued(t):
+    """The same tables without lines that lack a value: the trend then needs first and last orders only."""
+    return t | {"order_items": t["order_items"].where("price is not null and freight_value is not null")}
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_trend_by_ends_equals_the_changes(spark, seed):
+    t = _valued(_random_shop(spark, seed))
+    assert not features._has_null_values(t["order_items"])
+    by_changes = features._trend_by_changes(features._person_baskets(t))
+    ours = features.basket_trend(t)
+    assert by_key(ours, "customer_unique_id") == by_key(by_changes, "customer_unique_id")
+    _assert_view_equals_blocks(quality.clean(t))
+
+
+def test_trend_of_a_person_with_a_third_of_all_orders_on_one_date(spark):
+    n = 300
+    t = tables(
+        spark,
+        customers=[customer(f"c{i}", f"u{i}") for i in range(20)],
+        orders=[order(f"same{i:04}", "c0" if i % 3 == 0 else f"c{1 + i % 19}", "2018-05-01") for i in range(n)],
+        order_items=[item(f"same{i:04}", f"{i + 1}.25") for i in range(n)],
+        products=[product("p1", "a")],
+    )
+    rows = by_key(features.customer_features(t), "customer_unique_id")
+    assert rows["u0"].order_count == 100 and rows["u0"].basket_trend == 3.0
+
+
+def test_sets_of_any_size_are_counted_exactly(spark, monkeypatch):
+    """Two lanes, and more values than all lanes hold (then sets are counted by their rows)."""
+    categories = [product(f"p{i}", f"cat{i % 150}") for i in range(200)]
+    t = quality.clean(_random_shop(spark, 9)) | {"products": tables(spark, products=categories)["products"]}
+    t["order_items"] = t["order_items"].withColumn("product_id", F.concat(F.lit("p"), F.abs(F.xxhash64("order_id", "price")) % 210))
+    assert len(dictionary.lanes_of(dictionary.codes(t["products"], "product_category_name"))) == 3
+    _assert_view_equals_blocks(t)
+    monkeypatch.setattr(dictionary, "MAX_LANES", 2)
+    assert dictionary.codes(t["products"], "product_category_name") is None
+    _assert_view_equals_blocks(t)
+
+
+@pytest.mark.parametrize("seed, most", [(4, 10_000), (5, 10_000), (4, 40), (5, 3)])
+def test_first_rows_equal_the_views(spark, seed, most):
+    """By keys, and by semi joins where there are more keys than may travel."""
+    t = quality.clean(_random_shop(spark, seed))
+    view = features.customer_features(t).orderBy("customer_unique_id").collect()
+    for n in (1, 7, 60):
+        assert preview.customer_features_first(t, n, most).collect() == view[:n]
+
+
+def test_first_rows_skip_persons_without_a_basket(spark):
+    people = [customer(f"c{i:03}", f"u{i:03}") for i in range(300)]
+    orders = [order(f"o{i}", f"c{i:03}", "2018-01-01", "delivered" if i >= 250 else "shipped") for i in range(300)]
+    t = tables(
+        spark, customers=people, orders=orders,
+        order_items=[item(f"o{i}", "1.00") for i in range(300) if i != 251], products=[product("p1", "a")],
+    )
+    found = [r[0] for r in preview.customer_features_first(t, 3).collect()]
+    assert found == ["u250", "u252", "u253"]
+    assert preview.customer_features_first(tables(spark), 3).collect() == []

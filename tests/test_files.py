@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.schema import SCHEMAS
+from basketry.sources import versions
 from basketry.sources.files import (
     TABLES_DIR_VARIABLE,
+    LoadError,
+    Violation,
     import_csv,
     keep,
     load_tables,
@@ -132,3 +135,59 @@ def test_layout_prunes_by_status_and_splits_a_hot_customer(spark, tmp_path):
     holding = [r for r in ranges if r.low <= "c00500" <= r.high]
     assert len(holding) == 1
     assert max(r.n for r in ranges) < 1000  # the hot customer alone has more
+
+
+def _csv(tmp_path, name, lines):
+    header = ",".join(SCHEMAS[name].names)
+    return write(tmp_path, name, "\n".join([header, *lines]) + "\n")
+
+
+def test_import_refuses_nulls_and_repeated_keys(spark, tmp_path):
+    paths = {
+        "sellers": _csv(tmp_path, "sellers", ["s1,1,x,SP", "s1,2,y,SP", "s1,3,z,SP", "s2,4,w,SP", ",5,v,SP"]),
+        "customers": _csv(tmp_path, "customers", ["c1,,1,x,SP", "c2,ana,1,x,SP", "c3,,1,x,SP"]),
+    }
+    with pytest.raises(LoadError, match="sellers.seller_id: repeated key in 3 rows") as caught:
+        import_csv(spark, paths, str(tmp_path / "db"))
+    assert sorted(caught.value.violations) == [
+        Violation("customers", "customer_unique_id", "NULL", 2),
+        Violation("sellers", "seller_id", "NULL", 1),
+        Violation("sellers", "seller_id", "repeated key", 3),
+    ]
+    assert versions.current(spark, str(tmp_path / "db")) == {}
+
+
+def test_a_failing_load_leaves_the_tables_before(spark, tmp_path):
+    directory = str(tmp_path / "db")
+    old = shop(spark)
+    write_tables(old, directory)
+    new = {name: df.limit(1) for name, df in old.items()}
+    fifth = list(new)[4]
+    new[fifth] = new[fifth].withColumn("review_id", F.raise_error(F.lit("lost the source")).cast("string"))
+    with pytest.raises(Exception, match="lost the source"):
+        write_tables(new, directory)
+    for name, df in load_tables(spark, directory).items():
+        assert sorted(map(str, df.collect())) == sorted(map(str, old[name].collect()))
+
+
+def test_a_load_of_some_tables_keeps_the_others(spark, tmp_path):
+    directory = str(tmp_path / "db")
+    write_tables(shop(spark), directory)
+    before = load_tables(spark, directory)
+    one = spark.createDataFrame([("s9", "1", "x", "SP")], SCHEMAS["sellers"])
+    write_tables({"sellers": one}, directory)
+    after = load_tables(spark, directory)
+    assert [r[0] for r in after["sellers"].collect()] == ["s9"]
+    assert after["orders"].count() == 9
+    # Frames made before still read what they were made of.
+    assert before["sellers"].count() == 2
+
+
+def test_old_versions_are_dropped_on_request(spark, tmp_path):
+    directory = str(tmp_path / "db")
+    for n in range(1, 5):
+        sellers = spark.createDataFrame([(f"s{i}", "1", "x", "SP") for i in range(n)], SCHEMAS["sellers"])
+        write_tables({"sellers": sellers}, directory)
+    assert len(versions.drop_old(spark, directory, keep=2)) == 2
+    assert load_tables(spark, directory, ["sellers"])["sellers"].count() == 4
+    assert versions.drop_old(spark, directory, keep=2) == []

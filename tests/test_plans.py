@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketry import registry
 from basketry.operators.orders import with_person
-from basketry.plans import features, quality, reports, segments
-from basketry.sources.files import load_tables, write_tables
+from basketry.plans import features, preview, quality, reports, segments
+from basketry.sources.files import load_tables, write_order_buckets, write_tables
 from fixtures import shop
 
 
@@ -60,8 +61,17 @@ def test_top_k_is_not_a_full_sort(stored):
         assert "TakeOrderedAndProject" in plan(df)
 
 
-def test_feature_view_reads_each_table_once(stored, no_broadcast):
-    text = plan(features.customer_features(stored))
+@pytest.fixture(scope="module")
+def valued(spark, tmp_path_factory):
+    """The shop without the line that lacks a value."""
+    directory = str(tmp_path_factory.mktemp("valued"))
+    t = quality.clean(shop(spark))
+    write_tables(t | {"order_items": t["order_items"].where("freight_value is not null")}, directory)
+    return load_tables(spark, directory)
+
+
+def test_feature_view_reads_each_table_once(valued, no_broadcast):
+    text = plan(features.customer_features(valued))
     scans = re.findall(r"Location: InMemoryFileIndex.*?/(\w+)\]", text)
     # orders twice: the second scan is the one-column maximum for the reference date
     assert sorted(scans) == [
@@ -73,7 +83,6 @@ def test_feature_view_reads_each_table_once(stored, no_broadcast):
         "customer_id",
         "customer_id",
         "customer_unique_id",
-        "customer_unique_id, day",
         "order_id",
         "order_id",
         "order_id",
@@ -82,6 +91,32 @@ def test_feature_view_reads_each_table_once(stored, no_broadcast):
     ]
 
 
+def test_feature_view_needs_no_order_of_rows_and_no_sets(valued):
+    text = plan(features.customer_features(valued))
+    for node in ("Window", "ObjectHashAggregate", "Generate", "collect_set", "rangepartitioning"):
+        assert node not in text
+
+
+def test_first_rows_read_only_their_keys(valued, spark):
+    """The scans of the big tables get the keys as pushed filters, and no join of whole tables is left."""
+    df = preview.customer_features_first(valued, 2)
+    text = plan(df)
+    for table, column in (
+        ("customers", "customer_id"), ("orders", "customer_id"), ("order_items", "order_id"), ("order_reviews", "order_id"),
+    ):
+        scan = re.search(rf"FileScan parquet [^\n]*/{table}\][^\n]*", text)[0]
+        assert re.search(rf"PushedFilters: \[[^\n]*(In|EqualTo)\({column}", scan), scan
+    assert [r.customer_unique_id for r in df.collect()] == ["ana", "bob"]
+
+
+def test_order_joins_on_buckets_need_no_exchange(valued, spark, tmp_path, no_broadcast):
+    bucketed = write_order_buckets(valued, str(tmp_path / "buckets"), 4, f"t{uuid.uuid4().hex}")
+    df = reports.order_ledger(bucketed)
+    assert "Exchange" in plan(reports.order_ledger(valued))
+    assert "Exchange" not in plan(df) and plan(df).count("Join") == 3
+    assert sorted(map(str, df.collect())) == sorted(map(str, reports.order_ledger(valued).collect()))
+
+
 def test_rank_computes_the_totals_once(stored, no_broadcast):
     df = features.customer_rank(stored)
     done = df._jdf.queryExecution()

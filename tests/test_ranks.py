@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators.ranks import value_band, with_rank
+from basketry.operators.ranks import with_rank
 
 _amounts = st.one_of(
     st.none(),
@@ -25,13 +25,15 @@ def test_rank_equals_the_window(spark, values):
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
-def test_bands_are_monotone_and_bounded(spark):
-    top, bottom = Decimal("9" * 36 + ".99"), Decimal("-" + "9" * 36 + ".99")
-    values = [bottom, Decimal("-5.00"), Decimal(0), Decimal("0.01"), Decimal(200), top]
-    df = spark.createDataFrame([(v,) for v in values], "v decimal(38,2)")
-    bands = [r[0] for r in df.select(value_band(F.col("v"))).collect()]
-    assert bands == sorted(bands)
-    assert bands[-1] - bands[0] <= 2 * 500 * 88
+def test_totals_that_crowd_in_a_narrow_band(spark):
+    """All values within 0.2 % of each other: ranges follow the values, wherever they lie."""
+    df = spark.range(20000).select("id", (F.lit(1_000_000) + F.col("id") % 1999 / 100).cast("decimal(38,2)").alias("v"))
+    got = with_rank(df, "v", "r")
+    expected = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
+    assert got.exceptAll(expected).count() == 0
+    distinct = df.groupBy("v").count().repartitionByRange(8, F.col("v").desc())
+    sizes = sorted(r["count"] for r in distinct.groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
 
 
 def test_many_ties_and_no_window_over_all_rows(spark):
@@ -46,6 +48,5 @@ def test_many_ties_and_no_window_over_all_rows(spark):
     expected = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
     assert got.exceptAll(expected).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
-    # The only single-partition step works on the bands.
-    single = [line for line in plan.splitlines() if "Exchange SinglePartition" in line]
-    assert len(single) == 1 and "_band" in plan
+    # Nothing is gathered by a single-partition exchange; ranges are numbers, not values.
+    assert "SinglePartition" not in plan and "rangepartitioning(_value" in plan

@@ -1,4 +1,4 @@
-"""Slots of time: a hot date and rows without a time are spread, and LAG stays exact."""
+"""Ranges of (person, time, id): a hot date with ids that start alike is spread, and LAG stays exact."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators.chains import SLOT, slot_columns, with_previous
+from basketry.operators.chains import RANGE, in_ranges, with_previous
 from basketry.schema import SCHEMAS
 from basketry.sources.files import import_csv
 
@@ -36,13 +36,42 @@ def test_previous_equals_plain_lag(spark):
     assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
 
 
-def test_no_slot_holds_a_hot_date_or_the_missing_times(spark):
-    slots = _orders(spark).withColumns(slot_columns("at", "id")).groupBy("person", *SLOT).count()
-    # 2,700 rows share an instant or lack one; 300 others fall into 25 hours.
-    assert slots.agg(F.max("count")).first()[0] < 40
+def _hot_date(spark, n=6000):
+    """A third of all orders are one person's, on one date, with ids that start alike."""
+    person = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 50))
+    at = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") * 977 % 90000)
+    return spark.range(n).select(
+        person.alias("person"),
+        F.timestamp_seconds(at).cast("timestamp_ntz").alias("at"),
+        F.format_string("order-%09d", "id").alias("id"),
+        (F.col("id") % 101).alias("value"),
+    )
 
 
-def test_slots_of_an_empty_table(spark):
+def test_previous_on_a_hot_date_equals_plain_lag(spark):
+    orders = _hot_date(spark)
+    by_time = Window.partitionBy("person").orderBy(F.col("at").asc_nulls_last(), "id")
+    plain = orders.withColumn("before", F.lag("value").over(by_time))
+    ours = with_previous(orders, "person", "at", "id", "value", "before")
+    assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
+
+
+def test_no_task_holds_a_hot_date(spark):
+    """Rows as the window's tasks get them: dealt by (person, range)."""
+    ranged = in_ranges(_hot_date(spark, 60000), "person", "at", "id")
+    tasks = ranged.repartition(8, "person", RANGE).groupBy(F.spark_partition_id()).count()
+    sizes = sorted(r["count"] for r in tasks.collect())
+    assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_previous_where_nothing_has_a_time(spark):
+    orders = _hot_date(spark, 900).withColumn("at", F.lit(None).cast("timestamp_ntz"))
+    plain = orders.withColumn("before", F.lag("value").over(Window.partitionBy("person").orderBy("id")))
+    ours = with_previous(orders, "person", "at", "id", "value", "before")
+    assert ours.exceptAll(plain).isEmpty()
+
+
+def test_previous_of_an_empty_table(spark):
     empty = _orders(spark).where("false")
     assert with_previous(empty, "person", "at", "id", "value", "before").isEmpty()
 
