@@ -212,7 +212,6 @@ def scan(text: str | None) -> tuple:
     )
 
 
-@F.pandas_udf(_FIELDS)
 def _scanned(texts: pd.Series) -> pd.DataFrame:
     names = [x.split()[0] for x in _FIELDS.split(",")]
     found = pd.DataFrame([scan(x) for x in texts], columns=names, dtype=object)
@@ -223,4 +222,5 @@ def _scanned(texts: pd.Series) -> pd.DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: words, base places and labels, all labels, score and restriction."""
-    return docs.select("doc_id", _scanned("text").alias("r")).select("doc_id", "r.*")
+    scanned = F.pandas_udf(_scanned, _FIELDS)
+    return docs.select("doc_id", scanned("text").alias("r")).select("doc_id", "r.*")

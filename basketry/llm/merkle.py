@@ -35,7 +35,7 @@ from basketry.llm.shared import lower_ascii, only, ranked, same, stored
 FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPERED_EVERY = 5
-_NO_PATH = F.array().cast("array<struct<before:string,after:string>>")
+_PATH = "array<struct<before:string,after:string>>"
 
 
 def _encoded(value: Column) -> Column:
@@ -138,7 +138,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     # The sources' roots are the leaves of one more tree.
     over = ranked(subroots.withColumn("all", F.lit(0)), "all", F.col("source").asc_nulls_first(), name="sources")
     of_all = levels(over.withColumnsRenamed({"all": "tree", "subroot": "digest"}))
-    end = tops(of_all).select("tree", _NO_PATH.alias("path"), F.col("digest").alias("root"))
+    end = tops(of_all).select("tree", F.array().cast(_PATH).alias("path"), F.col("digest").alias("root"))
     above = with_paths(of_all, end).select(
         F.col("source").alias("tree"), "path", F.col("digest").alias("subroot"), "root"
     )

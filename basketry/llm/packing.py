@@ -8,17 +8,25 @@ the same size whatever the number of documents:
    ``GROUPS`` groups of equal cardinality, and each is rounded up to its group's longest.
 2. For these few sizes the best mix of configurations (ways to fill a sequence) is a linear
    program, solved by column generation; each is used a whole number of times, rounded down.
-3. Actual lengths are put in the places of the rounded ones, which leaves room again;
-   configurations that it leaves loose are given back.
-4. What is left over of the large, and then the small, goes best-fit into that room, and into
-   new sequences where there is none.
+3. Actual lengths are put in the places of the rounded ones, each the longest left that its place
+   and the room saved by the places before it allow.
+4. What is left over of the large, and then the small, goes best-fit into the room that remains,
+   and into new sequences where there is none.
+
+Where small pieces are too few to fill it, that room is lost. So step 4 is done with all sequences
+of step 3, with only those that are nearly full, and with none; the plan with the fewest
+sequences counts, on a tie the one that keeps the most. The result thus never needs more sequences
+than best-fit alone.
 
 Pieces then take the places of their length by rank. Ranks are counted per (length, bucket of
 the id), so a length that a third of all pieces share is spread over many tasks.
 
-Ids are those of the ``tokenizers`` library for the vocabulary file. For texts of common
-scripts the same vocabulary is applied by ``tiktoken``, which is several times faster and
-gives the same ids there (a test compares them); other texts go through ``tokenizers``.
+Ids are those of the ``tokenizers`` library for the vocabulary file, special tokens in the text
+included. Long texts are cut where a word certainly ends (a letter, then a space or a mark), which
+no token crosses, so an encoder never holds more than about ``CUT`` characters. Parts of
+common scripts without special tokens are encoded by ``tiktoken`` with the same vocabulary, which
+is several times faster and gives the same ids there (a test compares them); the others by
+``tokenizers``.
 
 Defined cases: a null or empty text is the end id alone; repeated documents are packed each;
 an empty table gives no pieces. Extra columns are ignored.
@@ -29,6 +37,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,11 +53,15 @@ from basketry.llm.shared import stored
 CAPACITY, END = 2048, 0
 #: Pieces over ``capacity / SMALL`` are large.
 SMALL, GROUPS = 3, 64
-#: A configuration with more than this part of a sequence left is given back.
-LOOSE = 512
+#: A sequence is nearly full if at most this part of it is free.
+NEARLY = 32
 VOCABULARY = "byte_bpe_50k"
 #: Pieces of one length that one task ranks, at most about.
 RANKED = 1_000_000
+#: Characters after which a long text is cut at the next place where a word ends.
+CUT = 1 << 16
+# A letter of a script without joining marks before a space or a mark that is no apostrophe.
+_WORD_END = re.compile("[A-Za-zÀ-ÖØ-öø-ɏА-яぁ-ゖァ-ヺ一-龥가-힣](?=[ \n.,;:!?()、。，！？；：])")
 #: Latin, Greek and Cyrillic letters and common punctuation; controls but tab and newline are left out.
 _COMMON = re.compile("[^\t\n\x20-\x7e\xa1-ɏͰ-ͳΆ-ΡΣ-ϿЀ-ҁ‐-‧€]")
 
@@ -58,17 +72,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.slow.encode_special_tokens = True
+        self.special = "<|"  # every special token of the vocabulary starts so
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
         self.fast = tiktoken.Encoding(
             vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
 
-    def ids(self, text: str) -> list[int]:
-        if _COMMON.search(text):
-            return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+    def ids(self, text: str) -> np.ndarray:
+        found = []
+        for part in parts_of(text):
+            common = not _COMMON.search(part) and self.special not in part
+            found.append(
+                self.fast.encode_ordinary(part) if common else self.slow.encode(part, add_special_tokens=False).ids
+            )
+        return np.concatenate([np.array(x, "<u4") for x in found]) if found else np.zeros(0, "<u4")
+
+
+def parts_of(text: str, most: int = CUT) -> Iterator[str]:
+    """``text`` in parts that no token crosses, each cut at the first word end after ``most`` characters."""
+    at = 0
+    while at < len(text):
+        end = _WORD_END.search(text, at + most) if len(text) > at + most else None
+        yield text[at : end.end()] if end else text[at:]
+        at = end.end() if end else len(text)
 
 
 @lru_cache(2)
@@ -96,7 +123,7 @@ def pieces(
         encode = encoder(vocabulary).ids
         rows = []
         for text in texts:
-            ids = np.array([*encode(text or ""), END], "<u4")
+            ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
             parts = [(s, n, ids[s : s + n]) for s, n in cut(len(ids), capacity)]
             row = [[s for s, *_ in parts], [n for _, n, _ in parts], [zlib.crc32(x.tobytes()) for *_, x in parts]]
             rows.append(row + [[x.tolist() for *_, x in parts]] * with_ids)
@@ -169,60 +196,65 @@ def groups(counts: np.ndarray, smallest: int, n: int) -> list[list[tuple[int, in
 Bins = list[tuple[int, list[int]]]
 
 
+def _configured(counts: np.ndarray, capacity: int, n_groups: int) -> Bins:
+    """Sequences that hold actual lengths in the places of the configurations' rounded ones.
+
+    Each place takes the longest piece left that its rounded length allows, and whatever room
+    shorter pieces before it have left.
+    """
+    dealt = groups(counts, capacity // SMALL + 1, n_groups)
+    if not dealt:
+        return []
+    demand: dict[int, int] = {}
+    for group in dealt:
+        demand[group[0][0]] = demand.get(group[0][0], 0) + sum(n for _, n in group)
+    sizes = np.array(sorted(demand, reverse=True))
+    left = {length: int(n) for length, n in enumerate(counts) if n and length > capacity // SMALL}
+    lengths = sorted(left)
+    made: Bins = []
+    for pattern, times in configurations(sizes, np.array([demand[s] for s in sizes], float), capacity):
+        places = [int(sizes[j]) for j, n in enumerate(pattern) for _ in range(n)]
+        while times:
+            taken: list[int] = []
+            spare = capacity - sum(places)
+            for place in places:
+                at = bisect_right(lengths, place + spare) - 1
+                while at >= 0 and left[lengths[at]] <= taken.count(lengths[at]):
+                    at -= 1
+                if at < 0:
+                    break
+                taken.append(lengths[at])
+                spare += place - taken[-1]
+            if len(taken) < len(places):
+                break
+            # As many sequences as hold the same actual lengths.
+            same = min(times, *[left[x] // taken.count(x) for x in taken])
+            for x in taken:
+                left[x] -= same
+                if not left[x]:
+                    lengths.remove(x)
+            made.append((same, taken))
+            times -= same
+    return made
+
+
+def _filled(kept: Bins, counts: np.ndarray, capacity: int) -> Bins:
+    """The kept sequences, and everything else best-fit."""
+    rest = counts.copy()
+    for number, lengths in kept:
+        np.subtract.at(rest, lengths, number)
+    return _best_fit(kept, rest, capacity)
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> Bins:
     """Sequences as (number, lengths in them), using every piece of ``counts[length]`` once."""
     counts = counts.astype(np.int64).copy()
     done: Bins = [(int(counts[capacity]), [capacity])] if counts[capacity] else []
     counts[capacity] = 0
-    made: Bins = []
-    dealt = groups(counts, capacity // SMALL + 1, GROUPS)
-    if dealt:
-        sizes = np.array([g[0][0] for g in dealt])
-        of, sizes = np.unique(-sizes, return_inverse=True)[1], np.unique(-sizes) * -1
-        queues: list[list[list[int]]] = [[] for _ in sizes]
-        for j, group in zip(of, dealt, strict=True):
-            queues[j] += [list(x) for x in group]
-        demand = np.array([sum(n for _, n in q) for q in queues], float)
-        for pattern, times in configurations(sizes, demand, capacity):
-            slots = [j for j, n in enumerate(pattern) for _ in range(n)]
-            while times:
-                # As many sequences as hold the same actual lengths.
-                need = {j: int(pattern[j]) for j in set(slots)}
-                if not all(sum(n for _, n in queues[j]) >= need[j] for j in need):
-                    break
-                lengths: list[int] = []
-                same = times
-                takes = []
-                for j in need:
-                    head = queues[j][0]
-                    if head[1] >= need[j]:
-                        same = min(same, head[1] // need[j])
-                        takes.append((j, [(0, need[j])]))
-                    else:
-                        same, left, parts = min(same, 1), need[j], []
-                        for q, (_, n) in enumerate(queues[j]):
-                            parts.append((q, min(n, left)))
-                            left -= parts[-1][1]
-                            if not left:
-                                break
-                        takes.append((j, parts))
-                for j, parts in takes:
-                    for q, n in parts:
-                        lengths += [queues[j][q][0]] * n
-                        queues[j][q][1] -= n * same
-                        counts[queues[j][q][0]] -= n * same
-                    queues[j] = [x for x in queues[j] if x[1]]
-                made.append((same, lengths))
-                times -= same
-    # Rounding leaves some configurations loose, with room that hardly any piece fits; best-fit
-    # fills their lengths better. One large piece alone is no loss: the small go beside it.
-    tight: Bins = []
-    for number, lengths in made:
-        if len(lengths) > 1 and capacity - sum(lengths) > capacity // LOOSE:
-            np.add.at(counts, lengths, number)
-        else:
-            tight.append((number, lengths))
-    return done + _best_fit(tight, counts, capacity)
+    made = _configured(counts, capacity, GROUPS)
+    nearly = [b for b in made if len(b[1]) == 1 or capacity - sum(b[1]) <= capacity // NEARLY]
+    plans = [(_filled(kept, counts, capacity), sum(n * len(x) for n, x in kept)) for kept in (made, nearly, [])]
+    return done + min(plans, key=lambda p: (sum(n for n, _ in p[0]), -p[1]))[0]
 
 
 def _best_fit(bins: Bins, counts: np.ndarray, capacity: int) -> Bins:

@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from basketry.llm.shared import folded, unfolded
 
 # A run of name characters or digits is entered at its start only, or where the last match
-# ended: elsewhere in the run the same match would fail. This keeps long runs linear.
+# ended: elsewhere in the run the same match would fail. This keeps long runs linear. Labels and
+# their repetition are possessive: what ends a label can only be a dot, so giving back never helps,
+# and a greedy group would take a stack frame for each label.
 BASE = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -42,7 +44,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 
 MORE = {
     "secret": r"(?<![A-Za-z0-9_/+.@-])(?=[A-Za-z_/+-]*[0-9])(?=[0-9_/+-]*[A-Za-z])[A-Za-z0-9_/+-]{16,}",
-    "email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[({]dot[\])}])\x20?[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({]dot[\])}])\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.\x20-])\x20?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }

@@ -1,0 +1,140 @@
+import random
+import re
+
+import pytest
+from helpers import docs, empty, prose
+
+from basketry.llm import licenses
+
+
+def grammar(text):
+    """The restriction of a well-formed expression, by recursive descent."""
+    tokens = re.findall(r"[()]|[a-z0-9.+-]+", text)
+
+    def either():
+        value = both()
+        while tokens and tokens[0] == "or":
+            tokens.pop(0)
+            value = min(value, both())
+        return value
+
+    def both():
+        value = single()
+        while tokens and tokens[0] == "and":
+            tokens.pop(0)
+            value = max(value, single())
+        return value
+
+    def single():
+        if tokens[0] == "(":
+            tokens.pop(0)
+            value = either()
+            assert tokens.pop(0) == ")"
+            return value
+        value = licenses.restriction_of(licenses.family(tokens.pop(0)))
+        if tokens and tokens[0] == "with":
+            del tokens[:2]
+            value -= value in (2, 3, 4)
+        return value
+
+    return either()
+
+
+def random_expression(rng, depth):
+    ids = ["mit", "apache-2.0", "gpl-2.0-or-later", "gpl-3.0+", "lgpl-2.1", "cc-by-nc-4.0", "cc0-1.0", "agpl-3.0", "foo-1"]
+    if depth == 0 or rng.random() < 0.3:
+        return rng.choice(ids) + rng.choice(["", "", " with classpath-exception-2.0"])
+    made = [random_expression(rng, depth - 1) for _ in range(rng.randrange(1, 4))]
+    made = "".join(x + f" {rng.choice(['and', 'or'])} " for x in made[:-1]) + made[-1]
+    return f"({made})" if rng.random() < 0.6 else f"( {made} )"
+
+
+def test_expressions_equal_recursive_descent():
+    rng = random.Random(1)
+    for _ in range(500):
+        text = random_expression(rng, 4)
+        restriction, labels, well = licenses.evaluate(text + rng.choice(["", "\nmit", " */", ", gpl-2.0"]))
+        assert (restriction, well) == (grammar(text), True), text
+        plain = re.sub(r"with \S+?(?=[ )]|$)|\band\b|\bor\b", " ", text)
+        assert labels == [licenses.family(x) for x in re.findall(r"[a-z0-9.+-]+", plain)]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("", (None, [], False)),
+        ("(", (None, [], False)),
+        (")", (None, [], False)),
+        ("or mit", (None, [], False)),
+        ("mit or", (1, ["mit"], False)),
+        ("mit and (", (1, ["mit"], False)),
+        ("(mit or (gpl-3.0", (1, ["mit", "gpl"], False)),
+        ("(mit and ((gpl-3.0) or", (3, ["mit", "gpl"], False)),
+        ("gpl-3.0 with", (3, ["gpl"], False)),
+        ("gpl-3.0 with (x)", (3, ["gpl"], False)),
+        ("mit)", (1, ["mit"], True)),
+        ("mit mit", (1, ["mit"], True)),
+        ("mit/apache-2.0", (1, ["mit"], True)),
+        ("(mit) with x", (1, ["mit"], True)),
+        ("mit or gpl-2.0 and cc0-1.0", (1, ["mit", "gpl", "cc0"], True)),
+        ("gpl-2.0 or mit and agpl-3.0 with y", (3, ["gpl", "mit", "agpl"], True)),
+        ("licenseref-mine.", (5, ["unknown"], True)),
+    ],
+)
+def test_expression(text, expected):
+    assert licenses.evaluate(text) == expected
+
+
+def base(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    places, labels = [], set()
+    for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+        p = phrase.split()
+        hits = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += hits
+        labels |= {label} if hits else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def case():
+    rng = random.Random(2)
+    bits = ["MIT License", "the Apache\nLicense", "GNU General Public License, version 3", "summit license", "mit licenses", "général public license",
+            "MIT-license", "mit mit license", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: MIT OR (GPL-2.0 AND Foo)", "ÄMIT license"]
+    table = [(1, None), (2, ""), (3, " .,\x00"), (4, "MIT License"), (5, "mit LICENSE " * 50_000), (6, "(" * 100_000 + "SPDX-License-Identifier:" + "(" * 100_000)]
+    for i in range(200):
+        table.append((10 + i, "".join(rng.choice([prose(rng, 4), rng.choice(bits)]) + rng.choice([" ", "\n", ". "]) for _ in range(rng.randrange(12)))))
+    return table + [table[8], (None, bits[0])]
+
+
+def test_base_equals_brute_force(spark):
+    table = case()
+    found = licenses.report(docs(spark, table).selectExpr("*", "1 as n_base", "'x' as r", "'y' as labels")).collect()
+    got = sorted(((r[0], *r[1:6]) for r in found), key=repr)
+    assert got == sorted(((i, *base(t)) for i, t in table), key=repr)
+    for r in found:
+        assert 0 <= r["score"] <= 1 and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+        assert (r["score"] > 0) == (r["labels"] != "")
+
+
+def test_labels_score_and_restriction():
+    columns = ("base_labels", "labels", "score", "restriction", "n_tags", "n_malformed_tags")
+
+    def scan(text):
+        names = [x.split()[0] for x in licenses._FIELDS.split(",")]
+        found = dict(zip(names, licenses.scan(text), strict=True))
+        return tuple(found[c] for c in columns)
+
+    assert scan("plain words") == ("", "", 0.0, None, 0, 0)
+    # The base label stays, but the longer notice says whose terms hold.
+    assert scan("GNU Lesser General Public License")[:2] == ("gpl", "gpl,lgpl")
+    assert scan("GNU Lesser General Public License")[3] == 2
+    tagged = scan("// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR GPL-2.0-only\nint x;")
+    assert tagged == ("", "apache,gpl", pytest.approx(0.95), 1, 1, 0)
+    assert scan("spdx-license-identifier: (MIT")[2:] == (pytest.approx(0.6), 1, 1, 1)
+    assert scan("SPDX-License-Identifier: MIT\nLicensed under CC BY-NC 4.0.")[3] == 5
+    assert scan("SPDX-License-Identifier: \nMIT")[1:] == ("", 0.0, None, 1, 1)
+
+
+def test_empty_table(spark):
+    assert licenses.report(empty(spark)).count() == 0
