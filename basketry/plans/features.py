@@ -89,14 +89,13 @@ def basket_trend(t: Tables) -> DataFrame:
     """
     if _has_null_values(t["order_items"]):
         return _trend_by_changes(_person_baskets(t))
-    per_customer_id = delivered_baskets(t).groupBy("customer_id").agg(*_ends(F.lit(True)), _BASKETS)
+    per_customer_id = delivered_baskets(t).groupBy("customer_id").agg(
+        *_ends(F.lit(True)), F.count(F.lit(1)).alias("order_count")
+    )
     person = with_person(per_customer_id, t).groupBy(PERSON).agg(*_merged_ends(), *sums("order_count"))
     return person.select(PERSON, _trend_by_ends().alias("basket_trend"))
 
 
-_BASKETS = F.count(F.lit(1)).alias("order_count")
-
-
 def _has_null_values(items: DataFrame) -> bool:
     """Whether a line lacks a value: one small job, which skips stored row groups without NULLs."""
     return not items.where(F.col("price").isNull() | F.col("freight_value").isNull()).isEmpty()
