@@ -55,8 +55,9 @@ def test_expressions_equal_recursive_descent():
         text = random_expression(rng, 4)
         restriction, labels, well = licenses.evaluate(text + rng.choice(["", "\nmit", " */", ", gpl-2.0"]))
         assert (restriction, well) == (grammar(text), True), text
-        plain = re.sub(r"with \S+?(?=[ )]|$)|\band\b|\bor\b", " ", text)
-        assert labels == [licenses.family(x) for x in re.findall(r"[a-z0-9.+-]+", plain)]
+        tokens = re.findall(r"[a-z0-9.+-]+", text)
+        names = [x for before, x in zip(["", *tokens], tokens) if before != "with" and x not in ("and", "or", "with")]
+        assert labels == [licenses.family(x) for x in names]
 
 
 @pytest.mark.parametrize(
