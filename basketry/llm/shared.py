@@ -122,5 +122,7 @@ def ranked(df: DataFrame, group: str, *order: Column, name: str = "ranked") -> D
             }
         )
     )
+    # Small, and asked for by whoever asks for a rank, so worked out once.
+    shifts = stored(shifts, f"{name}-shifts")
     joined = placed.join(shifts, same(group, "_group") & (F.col("_range") == F.col("_in")))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_place") + F.col("_shift")).alias("rank"), "n")
