@@ -18,17 +18,52 @@ PERSON = "customer_unique_id"
 PURCHASED = "order_purchase_timestamp"
 
 
-def _value_measures() -> list[Column]:
-    return [
-        F.sum(line_value()).alias("order_value"),
-        F.count(line_value()).alias("valued_lines"),
-        F.count(F.lit(1)).alias("lines"),
-    ]
+def reduced_lines(t: Tables) -> DataFrame:
+    """Delivered lines as one row per (order, seller, product), which every report can start from.
+
+    The result may stand for ``order_items`` in a set of tables; see ``plans.dashboard``.
+    """
+    delivered = t["orders"].where(is_delivered()).select("order_id")
+    items = t["order_items"]
+    return (
+        items.join(delivered, "order_id", "left_semi")
+        .groupBy("order_id", "seller_id", "product_id")
+        .agg(price_total(items).alias("price_sum"), *_value_measures(items))
+        .withColumnsRenamed({"order_value": "value_sum", "lines": "line_count"})
+    )
+
+
+def is_reduced(items: DataFrame) -> bool:
+    return "line_count" in items.columns
+
+
+def price_total(items: DataFrame) -> Column:
+    return F.sum("price_sum" if is_reduced(items) else "price")
+
+
+def line_total(items: DataFrame) -> Column:
+    return F.sum("line_count") if is_reduced(items) else F.count(F.lit(1))
+
+
+def lacks_value(items: DataFrame) -> Column:
+    """Whether a row of ``items`` stands for a line without a value."""
+    if is_reduced(items):
+        return F.col("valued_lines") < F.col("line_count")
+    return F.col("price").isNull() | F.col("freight_value").isNull()
+
+
+def _value_measures(items: DataFrame) -> list[Column]:
+    value, valued = (
+        (F.sum("value_sum"), F.sum("valued_lines"))
+        if is_reduced(items)
+        else (F.sum(line_value()), F.count(line_value()))
+    )
+    return [value.alias("order_value"), valued.alias("valued_lines"), line_total(items).alias("lines")]
 
 
 def order_values(items: DataFrame) -> DataFrame:
     """Per order: value, lines that carry a value, all lines."""
-    return items.groupBy("order_id").agg(*_value_measures())
+    return items.groupBy("order_id").agg(*_value_measures(items))
 
 
 def order_contents(items: DataFrame, masks: DataFrame, lanes: list[str]) -> DataFrame:
@@ -40,7 +75,7 @@ def order_contents(items: DataFrame, masks: DataFrame, lanes: list[str]) -> Data
     return (
         items.join(masks, "product_id", "left")
         .groupBy("order_id")
-        .agg(*_value_measures(), *[F.bit_or(lane).alias(lane) for lane in lanes])
+        .agg(*_value_measures(items), *[F.bit_or(lane).alias(lane) for lane in lanes])
     )
 
 

@@ -349,6 +349,12 @@ def statements(
                    FORMAT('{{:.2f}}', mean_score) AS mean_score
             FROM ({_kpi_row("SELECT * FROM months", 180)})""",
     }
+    # A dashboard refresh gives the same rows as the reports alone.
+    same = {
+        "features": "customer_features", "timeline": "monthly_timeline", "states": "by_state",
+        "sellers": "top_sellers", "categories": "top_categories", "kpis": "kpis",
+    }
+    features |= {f"dashboard_{frame}": features[name] for frame, name in same.items()}
     tables = {
         "customers": "raw_customers",
         "orders": "raw_orders",

@@ -13,6 +13,7 @@ from basketry.operators.orders import (
     PURCHASED,
     delivered_baskets,
     delivered_orders,
+    lacks_value,
     order_contents,
     order_values,
     reference_date,
@@ -98,7 +99,7 @@ def basket_trend(t: Tables) -> DataFrame:
 
 def _has_null_values(items: DataFrame) -> bool:
     """Whether a line lacks a value: one small job, which skips stored row groups without NULLs."""
-    return not items.where(F.col("price").isNull() | F.col("freight_value").isNull()).isEmpty()
+    return not items.where(lacks_value(items)).isEmpty()
 
 
 def _trend_by_changes(baskets: DataFrame) -> DataFrame:

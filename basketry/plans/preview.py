@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import is_delivered
 from basketry.operators import dictionary
-from basketry.operators.orders import PERSON, reference_date, with_person
+from basketry.operators.orders import PERSON, lacks_value, reference_date, with_person
 from basketry.plans.features import view_of
 from basketry.schema import Tables
 
@@ -78,8 +78,7 @@ def _looked_up(t: Tables, n: int, most: int) -> DataFrame:
     orders = t["orders"].where(_among("customer_id", people))
     order_ids = {r["order_id"] for r in _rows(orders.select("order_id"), most)}
     items = t["order_items"].where(_among("order_id", order_ids))
-    no_value = F.col("price").isNull() | F.col("freight_value").isNull()
-    bought = _rows(items.groupBy("product_id").agg(F.max(no_value).alias("no_value")), most)
+    bought = _rows(items.groupBy("product_id").agg(F.max(lacks_value(items)).alias("no_value")), most)
     products = t["products"].where(_among("product_id", {r["product_id"] for r in bought} - {None}))
     reduced = {
         "customers": t["customers"].where(_among("customer_id", people) & _among(PERSON, chosen)),

@@ -27,7 +27,9 @@ from basketry.operators.orders import (
     PURCHASED,
     delivered_baskets,
     delivered_orders,
+    line_total,
     order_values,
+    price_total,
     review_totals,
     sums,
     with_person,
@@ -155,8 +157,9 @@ def _seller_totals(t: Tables) -> DataFrame:
     reduced to one row per order first and the repetition becomes a factor, so lines times
     reviews of an order are never written out.
     """
-    per_order = t["order_items"].groupBy("order_id", "seller_id").agg(
-        F.sum("price").alias("price_sum"), F.count(F.lit(1)).alias("lines")
+    items = t["order_items"]
+    per_order = items.groupBy("order_id", "seller_id").agg(
+        price_total(items).alias("price_sum"), line_total(items).alias("lines")
     )
     joined = (
         t["orders"]
@@ -220,12 +223,11 @@ def top_categories(t: Tables, n: int = 15) -> DataFrame:
     )
     delivered = t["orders"].where(is_delivered()).select("order_id")
     # Delivered lines only, and one row per product of an order, before the products are read.
+    items = t["order_items"]
     per_product = (
-        t["order_items"]
-        .select("order_id", "product_id", "price")
-        .join(delivered, "order_id", "left_semi")
+        items.join(delivered, "order_id", "left_semi")
         .groupBy("order_id", "product_id")
-        .agg(F.sum("price").alias("revenue"))
+        .agg(price_total(items).alias("revenue"))
     )
     return (
         per_product.join(labels, "product_id")

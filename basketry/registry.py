@@ -10,7 +10,7 @@ from pyspark.sql.types import DecimalType
 
 from basketry import oracle
 from basketry.functions.columns import UNKNOWN_CATEGORY
-from basketry.plans import features, preview, quality, reports, segments
+from basketry.plans import dashboard, features, preview, quality, reports, segments
 from basketry.schema import NOT_NULL, SCHEMAS, Tables
 from basketry.sources import files
 from basketry.sources.retail import retail_tables
@@ -88,6 +88,33 @@ def _rejected(t: Tables) -> DataFrame:
     return spark.createDataFrame(found, "table string, column string, problem string, row_count long")
 
 
+def _refreshed(name: str) -> Callable[[Tables], DataFrame]:
+    """One frame of a dashboard refresh, on lines stored once for all frames of a session."""
+
+    def frame(t: Tables) -> DataFrame:
+        shared = dashboard.shared_lines(t, _dashboard_folder(t["orders"].sparkSession))
+        return _FRAMES[name](shared)
+
+    return frame
+
+
+def _dashboard_folder(spark: SparkSession) -> str:
+    """A folder for the session's refreshes, so that they find each other's lines."""
+    key = "basketry.dashboard.dir"
+    folder = spark.conf.get(key, None) or files.work_folder(spark, "dashboard")
+    spark.conf.set(key, folder)
+    return folder
+
+
+_FRAMES: dict[str, Callable[[Tables], DataFrame]] = {
+    "dashboard_features": features.customer_features,
+    "dashboard_timeline": reports.monthly_timeline,
+    "dashboard_states": reports.by_state,
+    "dashboard_sellers": reports.top_sellers,
+    "dashboard_categories": reports.top_categories,
+    "dashboard_kpis": lambda t: reports.kpis(t, features.rfm_base(t)),
+}
+
 _ON_CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "basic_features": features.basic_features,
     "basic_features_preview": features.basic_features_preview,
@@ -159,6 +186,9 @@ _ON_RAW: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+_ON_CLEAN |= {name: _refreshed(name) for name in _FRAMES}
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Decimal columns as double, the form both engines hand to a client alike."""
     return df.select(
