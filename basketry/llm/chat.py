@@ -84,5 +84,7 @@ def rendered(turns: DataFrame) -> DataFrame:
             F.lit("<|end|>\n"),
         ),
     )
-    texts = turns.select(*COLUMNS).groupBy("conv_id").agg(F.array_join(parts, "").alias("text"))
-    return texts.join(kept, texts["conv_id"].eqNullSafe(kept["__id"])).select("conv_id", "n_turns", "text")
+    # Only turns that are rendered are gathered.
+    left = turns.select(*COLUMNS)
+    left = left.join(kept, left["conv_id"].eqNullSafe(kept["__id"]))
+    return left.groupBy("conv_id", "n_turns").agg(F.array_join(parts, "").alias("text"))

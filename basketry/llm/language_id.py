@@ -7,9 +7,9 @@ of a text's words with the highest total score less ``PENALTY`` per change of la
 neighbouring words of one language form a span.
 
 The model is learned from documents with a non-null ``lang`` whose ``crc32(doc_id) mod 5`` is
-not 0: per language at most about ``PER_LANGUAGE`` documents, picked by a hash of the id, and
-at most ``LANGUAGES`` languages, the most frequent ones. It has ``BUCKETS`` numbers per
-language, whatever the size of the corpus. Prediction reads nothing but the whole text.
+not 0: per language at most about ``PER_LANGUAGE`` documents, picked by a hash of the id. It has
+``BUCKETS`` numbers for each language that occurs, whatever the size of the corpus. Prediction
+reads nothing but the whole text.
 
 Many texts are decoded in step, one word of each at a time; a long text only adds steps.
 
@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 UNKNOWN = "und"
 PENALTY = 12.0
-PER_LANGUAGE, LANGUAGES = 4000, 64
+PER_LANGUAGE = 4000
 BUCKETS = 1 << 16
 #: A language uses a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.02
@@ -184,7 +184,7 @@ def train(docs: DataFrame) -> Model | None:
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)
     )
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = rows.groupBy("lang").count().collect()  # a row for each language
     if not known:
         return None
     languages = sorted(r["lang"] for r in known)
