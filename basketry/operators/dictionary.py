@@ -7,8 +7,13 @@ code, and counted exactly by ``bit_count``; no array of names travels.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from basketry.functions.local import local_rows
 
 BITS = 63  # the sign bit stays unused
 MAX_LANES = 8
@@ -24,12 +29,23 @@ def codes(df: DataFrame, value: str) -> DataFrame | None:
     found = df.select(value).where(F.col(value).isNotNull()).distinct().limit(most + 1).collect()
     if len(found) > most:
         return None
-    names = sorted(r[0] for r in found)
+    bits = numbered(r[0] for r in found)
+    return coded(df.sparkSession, bits.items(), df.schema[value])
+
+
+def numbered(values: Iterable) -> dict[object, list[int]]:
+    """Value -> its bit, as the numbers of all lanes."""
+    names = sorted(set(values))
     width = max(1, -(-len(names) // BITS))
-    rows = [(name, *[1 << i % BITS if i // BITS == lane else 0 for lane in range(width)]) for i, name in enumerate(names)]
-    kind = df.schema[value].dataType.simpleString()
-    schema = ", ".join([f"`{value}` {kind}", *[f"{lane} long" for lane in _lanes(width)]])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return {name: [1 << i % BITS if i // BITS == lane else 0 for lane in range(width)] for i, name in enumerate(names)}
+
+
+def coded(spark: SparkSession, bits: Iterable[tuple[object, list[int]]], key: StructField) -> DataFrame:
+    """(``key``, lane columns) of keys with their bits."""
+    rows = [(name, *lanes) for name, lanes in bits]
+    width = len(rows[0]) - 1 if rows else 1
+    lanes = [StructField(lane, LongType()) for lane in _lanes(width)]
+    return local_rows(spark, rows, StructType([key, *lanes]))
 
 
 def _lanes(width: int) -> list[str]:

@@ -182,15 +182,24 @@ def customer_features(t: Tables) -> DataFrame:
     return view_of(
         t,
         reference_date(t["orders"]).scalar(),
-        dictionary.codes(t["products"], "product_category_name"),
+        category_masks(t["products"], dictionary.codes(t["products"], "product_category_name")),
         _has_null_values(t["order_items"]),
     )
 
 
-def view_of(t: Tables, newest: Column, coded: DataFrame | None, null_values: bool) -> DataFrame:
+def category_masks(products: DataFrame, coded: DataFrame | None) -> DataFrame | None:
+    """The category bit of each product that has a category."""
+    if coded is None:
+        return None
+    named = products.select("product_id", "product_category_name")
+    # The dictionary is bounded, see ``codes``.
+    return named.join(F.broadcast(coded), "product_category_name").drop("product_category_name")
+
+
+def view_of(t: Tables, newest: Column, masks: DataFrame | None, null_values: bool) -> DataFrame:
     """The view with what ``customer_features`` finds out about the tables given."""
-    facts = _order_facts(t, coded)
-    lanes = dictionary.lanes_of(coded) if coded is not None else []
+    facts = _order_facts(t, masks)
+    lanes = dictionary.lanes_of(masks) if masks is not None else []
     is_basket = F.col("is_basket")
     basket_sums = ("order_value", "valued_lines")
     per_customer_id = facts.groupBy("customer_id").agg(
@@ -226,7 +235,7 @@ def view_of(t: Tables, newest: Column, coded: DataFrame | None, null_values: boo
         trend = F.when(F.col("_touched").isNull(), _trend_by_ends()).otherwise(F.col("_exact"))
     else:
         trend = _trend_by_ends()
-    if coded is None:
+    if masks is None:
         known = diversity(t).select(F.col(PERSON).alias("_varied"), F.col("category_count").alias("_categories"))
         person = person.join(known, F.col(PERSON) == F.col("_varied"), "left")
         categories = F.coalesce(F.col("_categories"), F.lit(0))
@@ -249,7 +258,7 @@ def view_of(t: Tables, newest: Column, coded: DataFrame | None, null_values: boo
 _REVIEW_MEASURES = ("reviews", "scored_reviews", "score_sum", "negative_reviews")
 
 
-def _order_facts(t: Tables, coded: DataFrame | None) -> DataFrame:
+def _order_facts(t: Tables, masks: DataFrame | None) -> DataFrame:
     """One row per order that is a basket, has a review, or both.
 
     A basket is a delivered order with items; other orders matter only for their reviews.
@@ -257,16 +266,10 @@ def _order_facts(t: Tables, coded: DataFrame | None) -> DataFrame:
     orders = t["orders"].select(
         "order_id", "customer_id", PURCHASED, is_delivered().alias("delivered")
     )
-    if coded is None:
+    if masks is None:
         contents = order_values(t["order_items"])
     else:
-        masks = (
-            t["products"]
-            .select("product_id", "product_category_name")
-            .join(F.broadcast(coded), "product_category_name")  # bounded, see ``codes``
-            .drop("product_category_name")
-        )
-        contents = order_contents(t["order_items"], masks, dictionary.lanes_of(coded))
+        contents = order_contents(t["order_items"], masks, dictionary.lanes_of(masks))
     facts = orders.join(contents, "order_id", "left")
     facts = facts.join(review_totals(t["order_reviews"]), "order_id", "left")
     basket = F.coalesce(F.col("delivered") & F.col("lines").isNotNull(), F.lit(False))
