@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basketry.llm import decontaminate, merkle, phrases, quality_rules, warc_zip
+from basketry.llm import decontaminate, merkle, phrases, quality_rules, suffix_dedup, warc_zip
 
 WARC_ZIP = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -15,6 +15,24 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS p
 FROM j
 """
 
+# Windows are told apart by MD5, so that a window is 16 bytes and not 400.
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT rid, doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT rid, s, md5(b[s : s + {suffix_dedup.LENGTH - 1}]) AS win FROM (SELECT rid, b, unnest(range(1, n - {suffix_dedup.LENGTH - 2})) AS s FROM n WHERE n >= {suffix_dedup.LENGTH})),
+r AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
+m AS (SELECT rid, s, lag(s) OVER (PARTITION BY rid ORDER BY s) AS before FROM w SEMI JOIN r USING (win)),
+o AS (SELECT rid, s, sum(CASE WHEN before IS NULL OR s > before + {suffix_dedup.LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY s) AS run FROM m),
+x AS (SELECT rid, run, min(s) AS a, max(s) + {suffix_dedup.LENGTH - 1} AS z FROM o GROUP BY rid, run),
+k AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS prior FROM x),
+p AS (SELECT n.rid, count(*) AS n_spans, sum(z - a + 1) AS n_removed,
+             string_agg(hex(b[prior + 1 : a - 1]), '' ORDER BY a) || hex(any_value(b)[max(z) + 1 :]) AS kept
+      FROM k JOIN n USING (rid) GROUP BY n.rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN p.rid IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM n LEFT JOIN p USING (rid)
+"""
+
 CHAT = """
 WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
@@ -212,6 +230,7 @@ FROM g JOIN n USING (lang) QUALIFY rank <= {phrases.TOP}
 STATEMENTS: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op2_warc_zip": WARC_ZIP,
+    "op4_suffix_dedup": SUFFIX_DEDUP,
     "op7_chat": CHAT,
     "op8_decontaminate": DECONTAMINATE,
     "op12_merkle": merkle_sql(),

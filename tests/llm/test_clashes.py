@@ -4,7 +4,8 @@ import random
 
 from helpers import WORDS, docs, prose
 
-from basketry.llm import decontaminate, pii, quality_rules, simhash
+from basketry.llm import chat, compression_quality, decontaminate, language_id, licenses, merkle, packing, phrases
+from basketry.llm import pii, quality_rules, simhash, suffix_dedup, warc_zip
 
 TAKEN = (
     "__key __first __fp __id __k __m __stratum __kept __base_failed __cut_stratum __hit __items text_key items"
@@ -48,3 +49,39 @@ def test_spans_of_a_long_text_are_removed_in_time(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     out = decontaminate.remove_spans(docs(spark, [(1, text + item + " end")]), bench).collect()
     assert out[0]["text"] == text + "end"
+
+
+INNER = (
+    "t x p r bucket rank at length text_key __found __id k n m h1 last s i j name start end kind f size phrase tree lo hi"
+    " digest path leaf root children piece base score quality payload _at _range _place a.b again row fold"
+).split()
+
+
+def widened(df):
+    return df.selectExpr("*", *[f"'{c}' as `{c}`" for c in INNER if c not in df.columns])
+
+
+def test_extra_columns_change_no_result(spark):
+    """Names that the operators use inside, on every table that they read."""
+    rng = random.Random(6)
+    shared = prose(rng, 120)
+    texts = [prose(rng, rng.randrange(1, 90)) for _ in range(12)] + [shared, "MIT License. " + shared, None, "", shared]
+    df = docs(spark, [(i, t, rng.choice(["en", "de"])) for i, t in enumerate(texts)], extra=False)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality long")
+    pages = spark.createDataFrame([(1, "u", "<p>" * 50), (2, "u", "<p>" * 50), (3, None, None)], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "bot", "b")], "conv_id long, turn long, role string, text string")
+    runs = {
+        "suffix_dedup": (suffix_dedup.report, [df]),
+        "language_id": (language_id.report, [df]),
+        "packing": (lambda d: packing.pack(packing.pieces(d)), [df]),
+        "compression_quality": (compression_quality.report, [df, labels]),
+        "licenses": (licenses.report, [df]),
+        "merkle": (merkle.report, [df]),
+        "phrases": (lambda d: phrases.collocations(d, least=2), [df]),
+        "warc_zip": (warc_zip.report, [pages]),
+        "chat": (chat.rendered, [turns]),
+    }
+    for name, (run, tables) in runs.items():
+        plain, wide = run(*tables), run(*[widened(x) for x in tables])
+        assert wide.columns == plain.columns, name
+        assert sorted(map(repr, wide.collect())) == sorted(map(repr, plain.collect())), name

@@ -1,5 +1,6 @@
 """The pipeline against brute force on the smallest tables, and on odd documents."""
 
+import random
 import re
 
 from helpers import DOCS
@@ -58,3 +59,40 @@ def test_every_stage_on_its_own_input(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def small_tables(spark, folder, rows, items=(), marks=()):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(marks), "doc_id long, quality long").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    small_tables(spark, tmp_path / "none", [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_long_null_and_repeated_rows_without_labels_or_benchmark(spark, tmp_path):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**9)}" for _ in range(200_000))
+    good = " ".join(f"w{rng.randrange(10**9)}" for _ in range(40)) + " write to a@b.example or call"
+    rows = [(1, long, "en", "s", len(long)), (2, None, None, None, None), (3, "", "en", "s", 0), (4, good, "en", "s", len(good))]
+    rows += [(4, good, "en", "s", len(good)), (5, good.upper(), "en", "s", len(good)), (None, "few words", None, "s", 9)]
+    small_tables(spark, tmp_path / "odd", rows)
+    packed = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    # Of the copies one stays; the null, the empty and the short text fail the base rules.
+    assert {r.doc_id for r in packed} == {1, 4}
+    assert sum(r.piece == 0 for r in packed) == 2 and sum(r.length for r in packed if r.doc_id == 1) > 400_000
+
+
+def test_extra_columns_pass_through_every_stage(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k * 7919 % 1009}" for k in range(30)), "en", "s", 9) for i in range(4)]
+    small_tables(spark, tmp_path / "wide", rows)
+    names = ["hit", "fp", "root", "start", "quality", "item_id", "rank", "bucket", "__key", "a.b"]
+    docs = table(spark, str(tmp_path / "wide"), "documents")
+    docs = docs.selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path / "wide"))
+        assert kept.columns == docs.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in kept.collect() for c in names)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path / "wide")).collect()} == {0, 1, 2, 3}
