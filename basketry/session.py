@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # AQE coalesces small shuffle partitions and splits skewed join partitions; timestamps
@@ -29,3 +33,18 @@ def build_session(
     for key, value in {**SETTINGS, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the Python workers of all executors; the archive's path.
+
+    Not needed where the package is installed on every machine. Only operators with Python
+    functions import it there; the marketplace plans have none.
+    """
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="basketry-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return str(archive)
