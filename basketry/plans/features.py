@@ -90,10 +90,8 @@ def basket_trend(t: Tables) -> DataFrame:
     """
     if _has_null_values(t["order_items"]):
         return _trend_by_changes(_person_baskets(t))
-    per_customer_id = delivered_baskets(t).groupBy("customer_id").agg(
-        *_ends(F.lit(True)), F.count(F.lit(1)).alias("order_count")
-    )
-    person = with_person(per_customer_id, t).groupBy(PERSON).agg(*_merged_ends(), *sums("order_count"))
+    baskets = with_person(delivered_baskets(t), t)
+    person = baskets.groupBy(PERSON).agg(*_ends(F.lit(True)), F.count(F.lit(1)).alias("order_count"))
     return person.select(PERSON, _trend_by_ends().alias("basket_trend"))
 
 
@@ -121,10 +119,6 @@ def _ends(is_basket: Column) -> list[Column]:
     return [F.min(basket).alias("first_basket"), F.max(basket).alias("last_basket")]
 
 
-def _merged_ends() -> list[Column]:
-    return [F.min("first_basket").alias("first_basket"), F.max("last_basket").alias("last_basket")]
-
-
 def _trend_by_ends() -> Column:
     return ratio(F.col("last_basket.value") - F.col("first_basket.value"), F.col("order_count") - 1)
 
@@ -170,9 +164,9 @@ def diversity(t: Tables) -> DataFrame:
 def customer_features(t: Tables) -> DataFrame:
     """The feature view: one row per person with a delivered order that has items.
 
-    All four blocks come from one pass over the tables, reduced in three steps: order ->
-    ``customer_id`` -> person. Every step is a sum, a minimum, a maximum or a union of bits, so
-    each is combined before its shuffle and no person's orders have to meet in one task.
+    All four blocks come from one pass over the tables, reduced in two steps: order -> person.
+    Each is a sum, a minimum, a maximum or a union of bits, so it is combined before its
+    shuffle and no person's orders have to meet in one task.
     Stitching separately computed blocks would read orders and customers four times.
 
     Two small jobs look at the tables first: whether a line lacks a value (see ``basket_trend``) and
@@ -201,23 +195,16 @@ def view_of(t: Tables, newest: Column, masks: DataFrame | None, null_values: boo
     facts = _order_facts(t, masks)
     lanes = dictionary.lanes_of(masks) if masks is not None else []
     is_basket = F.col("is_basket")
-    basket_sums = ("order_value", "valued_lines")
-    per_customer_id = facts.groupBy("customer_id").agg(
-        F.count_if(is_basket).alias("order_count"),
-        F.max(F.when(is_basket, F.col(PURCHASED))).alias("last_purchase"),
-        *_ends(is_basket),
-        *[F.sum(F.when(is_basket, F.col(name))).alias(name) for name in basket_sums],
-        *[F.bit_or(F.when(is_basket, F.col(lane))).alias(lane) for lane in lanes],
-        *sums(*_REVIEW_MEASURES),
-    )
     person = (
-        with_person(per_customer_id, t)
+        with_person(facts, t)
         .groupBy(PERSON)
         .agg(
-            F.max("last_purchase").alias("last_purchase"),
-            *_merged_ends(),
-            *sums("order_count", *basket_sums, *_REVIEW_MEASURES),
-            *dictionary.united(lanes),
+            F.count_if(is_basket).alias("order_count"),
+            F.max(F.when(is_basket, F.col(PURCHASED))).alias("last_purchase"),
+            *_ends(is_basket),
+            *[F.sum(F.when(is_basket, F.col(name))).alias(name) for name in ("order_value", "valued_lines")],
+            *[F.bit_or(F.when(is_basket, F.col(lane))).alias(lane) for lane in lanes],
+            *sums(*_REVIEW_MEASURES),
         )
         .where("order_count > 0")
     )
