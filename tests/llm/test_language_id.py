@@ -58,3 +58,11 @@ def test_report_learns_from_the_right_fold(spark):
     assert all(found[i].lang_pred == list(SAMPLES)[i % 3] for i in found)
     assert language_id.report(docs(spark, [(1, "some text", None)])).first().lang_pred == "und"
     assert language_id.report(empty(spark)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """As many languages as there are, however rare."""
+    table = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i:02}") for i in range(90)]
+    table += [(1000 + i, t, lang) for i, t, lang in table]
+    model = language_id.train(docs(spark, table))
+    assert len(model.languages) >= 70
