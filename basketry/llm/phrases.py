@@ -26,7 +26,7 @@ Scores use decimals of 38 digits, exact for counts up to 10**15.
 
 Defined cases: a null text has no words; a null language is ``und``; ids are not read but to
 draw the sample; repeated rows count each; ties in the score go by count, then by the phrase's
-bytes; an empty table has no phrases. Extra columns are ignored. A text is held whole by one task,
+bytes; an empty table has no phrases. Extra columns are ignored. A text is held whole by one task, at
 some 30 times its size.
 """
 
@@ -48,8 +48,8 @@ LEAST, SCALE, COVERED, TOP = 10, 1_000_000, 50, 2000
 #: One row in SAMPLE is drawn; a phrase is proposed at this part of the count expected of a wanted one.
 SAMPLE, LOWERED = 4, 0.8
 FILTER_BITS = 1 << 26
-#: Bytes of text that are counted at once.
-CHUNK = 16_000_000
+#: Bytes of text that are counted at once; a worker holds some 30 times as much.
+CHUNK = 6_000_000
 UNKNOWN_LANGUAGE = "und"
 SEED, TURN = 42, 17
 _OUT = "phrase string, f long"
