@@ -47,7 +47,8 @@ def _bucketed(t: Tables) -> Tables:
     """The tables after a trip through the bucketed layout."""
     spark = t["orders"].sparkSession
     folder = files.work_folder(spark, "buckets")
-    return files.write_order_buckets(t, folder, BUCKETS, f"shop_{folder.rpartition('-')[2]}")
+    buckets = files.bucket_count(t, least=BUCKETS)
+    return files.write_order_buckets(t, folder, buckets, f"shop_{folder.rpartition('-')[2]}")
 
 
 def _looked_up(t: Tables) -> DataFrame:

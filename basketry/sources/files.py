@@ -148,15 +148,24 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 #: The tables that join by order.
 ORDER_TABLES = ("orders", "order_items", "order_payments", "order_reviews")
+#: Mean rows of the largest of them in a bucket, at most.
+BUCKET_ROWS = 500_000
+
+
+def bucket_count(tables: Tables, least: int = 1) -> int:
+    """As many buckets as keep ``BUCKET_ROWS`` rows of the largest order table in one, so that
+    what a task holds does not grow with the tables."""
+    rows = max(tables[name].count() for name in ORDER_TABLES)
+    return max(least, -(-rows // BUCKET_ROWS))
 
 
 def write_order_buckets(tables: Tables, directory: str, buckets: int, prefix: str) -> Tables:
     """Store the tables that join by order in equal hash buckets of ``order_id``, sorted.
 
     Joins and aggregations by order then need no exchange: a task reads the same bucket of
-    each. Choose as many buckets as keep one of the largest table near 200 MB. An order is never
-    large (one row, its lines, payments and reviews), so buckets are even. The tables
-    are registered as ``<prefix>_<table>`` and returned with the others unchanged.
+    each. Their number has to follow the rows (``bucket_count``): a task aggregates and joins a
+    whole bucket. An order is never large (one row, its lines, payments and reviews), so buckets
+    are even. The tables are registered as ``<prefix>_<table>`` and returned with the others unchanged.
     """
     out = dict(tables)
     for name in ORDER_TABLES:

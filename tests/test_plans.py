@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from basketry import registry
 from basketry.operators.orders import with_person
 from basketry.plans import features, preview, quality, reports, segments
+from basketry.sources import files
 from basketry.sources.files import load_tables, write_order_buckets, write_tables
-from fixtures import shop
+from fixtures import item, order, payment, review, shop, tables
 
 
 def plan(df):
@@ -123,6 +124,28 @@ def test_order_joins_on_buckets_need_no_exchange(valued, spark, tmp_path, no_bro
     assert sorted(map(str, df.collect())) == sorted(map(str, reports.order_ledger(valued).collect()))
 
 
+def test_buckets_follow_the_rows(spark, no_broadcast, monkeypatch):
+    """The registered ledger has more tasks, not larger ones, when the tables have more rows."""
+    monkeypatch.setattr(files, "BUCKET_ROWS", 3, raising=False)
+    ids = [f"o{i}" for i in range(20)]
+    t = tables(
+        spark,
+        orders=[order(i, "c1", "2018-01-01 10:00:00") for i in [*ids, "o0"]],
+        order_items=[item(i, n, 1) for n, i in enumerate([*ids, *ids, "lost"])],
+        order_payments=[payment(i, "card", 5) for i in [*ids, "lost", "lost"]],
+        order_reviews=[review(i, 4) for i in ids],
+    )
+    bucketed = registry._bucketed(t)
+    df = reports.order_ledger(bucketed)
+    assert df.rdd.getNumPartitions() == 14
+    assert "Exchange" not in plan(df)
+    assert sorted(map(str, df.collect())) == sorted(map(str, reports.order_ledger(t).collect()))
+    for name in files.ORDER_TABLES:
+        assert sorted(map(str, bucketed[name].collect())) == sorted(map(str, t[name].collect()))
+    monkeypatch.setattr(files, "BUCKET_ROWS", 100, raising=False)
+    assert reports.order_ledger(registry._bucketed(t)).rdd.getNumPartitions() == registry.BUCKETS
+
+
 def test_rank_computes_the_totals_once(stored, no_broadcast):
     df = features.customer_rank(stored)
     done = df._jdf.queryExecution()
